@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,41 +30,31 @@ from pyspark.sql import functions as F
 from .shared import map_arrow, materialize, texts_of, tokenizer_path
 
 #: How byte-level vocabularies split a text before merging (a fixed value of their published tokenizers).
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: White space on which regular-expression libraries differ, and the special string: the library gets such texts whole.
-ODD = regex.compile("[\x1c-\x1f\x85]|<\\|endoftext\\|>")
-KEEP = 400_000
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space on which regular-expression libraries differ, and the special string: such texts take the slower library.
+ODD = re.compile("[\x1c-\x1f\x85]|<\\|endoftext\\|>")
 
 
 class ByteEncoder:
-    """Ids as the tokenizers library gives them, kept by word: little-endian unsigned 32-bit."""
+    """Ids as the tokenizers library gives them for a byte-level vocabulary. Its merges are applied by tiktoken,
+    which gives the same ids several times faster; texts on which the two may differ go to the library itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEEP:
-            self.known.clear()
-        out = []
-        for text in texts:
-            if ODD.search(text):
-                out += self._plain([text])
-                continue
-            words = SPLIT.findall(text)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                new = list(set(words) - self.known.keys())
-                self.known.update(zip(new, self._plain(new), strict=True))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+        # Byte-level vocabularies write a printable byte as itself and the others as the letters from U+0100 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(byte[c] for c in token): i for token, i in self.library.get_vocab(with_added_tokens=False).items()}
+        self.fast = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if ODD.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(text).astype("<u4")
 
 
 @functools.lru_cache(maxsize=2)
@@ -76,24 +66,24 @@ def cut(docs: DataFrame, width: int = 1024, tokenizer: str = "byte_bpe_50k.json"
     """The pieces of every document: doc_id, piece, start, length and their ids (array<int>) or, with
     ``keep="crc32"``, only the checksum of these. The first piece of a document may be shorter than ``width``."""
     path = tokenizer_path(tokenizer)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def make():
         enc = encoder(path)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             doc, piece, start, length, kept = [], [], [], [], []
-            for d, ids in zip(batch.column(0).to_pylist(), enc.encode(texts_of(batch, "text")), strict=True):
-                ids += end
-                at, n = 0, len(ids) // 4
+            for d, text in zip(batch.column(0).to_pylist(), texts_of(batch, "text"), strict=True):
+                ids = np.append(enc.encode(text), end)
+                at, n = 0, len(ids)
                 size = n % width or min(n, width)
                 for k in range(-(-n // width)):
                     doc.append(d)
                     piece.append(k)
                     start.append(at)
                     length.append(size)
-                    part = ids[4 * at : 4 * (at + size)]
-                    kept.append(zlib.crc32(part) if keep == "crc32" else np.frombuffer(part, "<u4").astype("i4"))
+                    part = ids[at : at + size]
+                    kept.append(zlib.crc32(part.tobytes()) if keep == "crc32" else part.astype("i4"))
                     at, size = at + size, width
             last = pa.array(kept, pa.int64() if keep == "crc32" else pa.list_(pa.int32()))
             return pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), last], ["doc_id", "piece", "start", "length", "kept"])
