@@ -9,6 +9,8 @@ emitted pieces. Characters outside the vocabulary fall back to bytes and set the
 
 from __future__ import annotations
 
+from itertools import chain
+
 import sentencepiece
 
 MARK = "▁"
@@ -30,6 +32,8 @@ class PieceAutomaton:
             else:
                 self.ids[piece], self.score[piece] = i, model.get_score(i)
         self.pieces = {i: p for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+        #: By id; a byte that is no character by itself has no entry.
+        self.plain = {i: p if isinstance(p, str) else p.decode() for i, p in self.pieces.items() if isinstance(p, str) or p < b"\x80"}
         self.width = max(map(len, self.ids))
         self.stems = {p[:i] for p in self.ids for i in range(1, len(p))}
         self.run = max((len(p) for p in self.ids if set(p) == {MARK}), default=1)
@@ -40,6 +44,7 @@ class PieceAutomaton:
         self.rests: dict[int, list[str]] = {}
         self._forget()
         self.words, self.inner = _Memo(lambda w: self.count(MARK + w)), _Memo(self.count)
+        self.word_ids, self.inner_ids = _Memo(lambda w: self._ids(MARK + w)), _Memo(self._ids)
         self.opening = _Memo(lambda w: self.split(MARK + w)[0] != MARK)
 
     def _forget(self) -> None:
@@ -256,48 +261,53 @@ class PieceAutomaton:
         return total + count + (self._open(tail) if tail else 0)
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a whole text."""
-        if not text:
-            return []
+        """The ids of a whole text, to which a space is prefixed."""
         out: list[int] = []
-        k, first = 0, True
-        for w in text.replace(MARK, " ").split(" "):
-            k += 1
-            if not w:
+        if not text:
+            return out
+        lines = text.replace(MARK, " ").split("\n") if "\n" not in self.score else [text.replace(MARK, " ")]
+        for i, line in enumerate(lines):
+            words = line.split(" ")
+            if i:
+                out.append(self.byte_ids[10])
+                if words[0]:
+                    out += self.inner_ids[words[0]]
+                words = words[1:]
+            if "" not in words:
+                out += chain.from_iterable(map(self.word_ids.__getitem__, words))
                 continue
-            ids, absorbs = self.spelled[w]
-            if k > 1:
-                out += self._run_ids(k - absorbs)
-                out += ids if absorbs else ids[1:]
-            else:
-                out += ids
             k = 0
-        return out + self._run_ids(k)
+            for w in words:
+                k += 1
+                if w:
+                    absorbs = k == 1 or self.opening[w]
+                    out += self._run_ids(k - 1 if absorbs else k)
+                    out += self.word_ids[w] if absorbs else self.word_ids[w][1:]
+                    k = 0
+            out += self._run_ids(k)
+        return out
 
     def _run_ids(self, k: int) -> list[int]:
         full, rest = divmod(k, self.run)
         return [self.ids[MARK * self.run]] * full + [self.ids[p] for p in self._rest(rest)]
 
-    @property
-    def spelled(self) -> _Memo:
-        if not hasattr(self, "_spelled"):
-            self._spelled = _Memo(self._spell)
-        return self._spelled
-
-    def _spell(self, word: str) -> tuple[list[int], bool]:
-        pieces = self.split(MARK + word)
-        ids: list[int] = []
-        for p in pieces:
+    def _ids(self, text: str) -> list[int]:
+        out: list[int] = []
+        for p in self.split(text):
             if p in self.ids:
-                ids.append(self.ids[p])
+                out.append(self.ids[p])
             else:
-                ids += [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
-        return ids, pieces[0] != MARK
+                out += [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each, the first space goes."""
-        joined = b"".join(p if isinstance(p := self.pieces.get(i, ""), bytes) else p.encode() for i in ids)
-        text = joined.decode("utf-8", "replace").replace(MARK, " ")
+        try:
+            text = "".join(map(self.plain.__getitem__, ids))
+        except (TypeError, KeyError):
+            joined = b"".join(p if isinstance(p := self.pieces.get(i, ""), bytes) else p.encode() for i in ids)
+            text = joined.decode("utf-8", "replace")
+        text = text.replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
