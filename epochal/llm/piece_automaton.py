@@ -15,7 +15,7 @@ import sentencepiece
 
 MARK = "▁"
 #: States and words kept by one task; beyond it they are forgotten and compiled again when met.
-KEEP = 400_000
+KEEP = 200_000
 
 
 class PieceAutomaton:

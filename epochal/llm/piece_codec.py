@@ -12,6 +12,7 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "d
         a = automaton(path)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch([batch.column(0), pa.array([a.encode(t) for t in texts_of(batch, "text")], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            return pa.record_batch([batch.column(0), pa.array([np.array(a.encode(t), "i4") for t in texts_of(batch, "text")], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
         return f
 
@@ -59,8 +60,11 @@ def roundtrip(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str =
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch, "text")
-            ids = [a.encode(t) for t in texts]
-            same = [a.decode(x) == t.replace("▁", " ") for x, t in zip(ids, texts, strict=True)]
+            ids, same = [], []
+            for t in texts:
+                x = a.encode(t)
+                same.append(a.decode(x) == t.replace("▁", " "))
+                ids.append(np.array(x, "i4"))
             return pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "decodes"])
 
         return f
