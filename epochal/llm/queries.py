@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, packing, piece_codec, secret_scan, simhash, spotsigs, token_counts, toxicity
+from . import ann, packing, pii, piece_codec, secret_scan, simhash, spotsigs, token_counts, toxicity
 from .shared import table
 
 
@@ -42,6 +42,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"), size=4)
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"), key="production")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
