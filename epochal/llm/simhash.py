@@ -156,35 +156,14 @@ def links(prints: DataFrame, radius: int = 4, target: int = 64, limit: int = 409
     sizes = materialize(each.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1"))
     small = each.join(sizes.where(F.col("n") <= limit).select("choice", "bits"), ["choice", "bits"]).repartition("choice", "bits").sortWithinPartitions("choice", "bits")
 
-    def search():
-        rest: list[pa.RecordBatch] = []
-
-        def f(batches):
-            rest.clear()
-            for batch in batches:
-                got = pa.Table.from_batches([*rest, batch]).combine_chunks()
-                choice, bits = got["choice"].to_numpy(), got["bits"].to_numpy()
-                cuts = np.flatnonzero((choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])) + 1
-                done = int(cuts[-1]) if len(cuts) else 0
-                rest[:] = got.slice(done).to_batches()
-                if done:
-                    yield from spans(got.slice(0, done), [0, *cuts.tolist()])
-            if rest:
-                got = pa.Table.from_batches(rest).combine_chunks()
-                yield from spans(got, [0, got.num_rows])
-
-        def spans(got, cuts):
-            node, fp = got["node"].to_numpy(), got["fp"].to_numpy().view("u8")
-            a, b = [], []
-            for s, e in itertools.pairwise(cuts):
-                for i, j in linked(fp[s:e], radius):
-                    a.append(node[s + i])
-                    b.append(node[s + j])
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        return f
-
-    found = small.mapInArrow(lambda batches: search()(batches), "a long, b long")
+    def search(batches):
+        for node, fp in runs(batches, ["choice", "bits"], ["node", "fp"]):
+            pairs = linked(fp.view("u8"), radius)
+            if pairs:
+                i, j = np.array(pairs).T
+                yield pa.record_batch([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
+
+    found = small.mapInArrow(search, "a long, b long")
     big = sizes.where(F.col("n") > limit).withColumn("blocks", F.ceil(F.col("n") / limit).cast("int"))
     if big.isEmpty():
         return found
@@ -203,6 +182,29 @@ def links(prints: DataFrame, radius: int = 4, target: int = 64, limit: int = 409
     return found.unionByName(pairs.groupBy("choice", "bits", "p", "q").applyInPandas(compare, "a long, b long"))
 
 
+def runs(batches, keys: list[str], values: list[str]):
+    """The value columns of each run of equal keys in batches that are sorted by them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in [*batches, None]:
+        if batch is not None:
+            rest.append(batch)
+            if sum(b.num_rows for b in rest) < 50_000:
+                continue
+        if not rest:
+            return
+        got = pa.Table.from_batches(rest).combine_chunks()
+        cols = [got[k].to_numpy() for k in keys]
+        new = np.zeros(max(0, got.num_rows - 1), bool)
+        for c in cols:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        last = got.num_rows if batch is None else cuts[-1]
+        data = [got[v].to_numpy() for v in values]
+        for s, e in itertools.pairwise([*cuts, got.num_rows] if batch is None else cuts):
+            yield [d[s:e] for d in data]
+        rest = [] if batch is None else got.slice(last).to_batches()
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id that links reach, its own included."""
     prints = materialize(fingerprints(docs, size, id_col, text_col))
@@ -219,8 +221,137 @@ def report(docs: DataFrame, radius: int = 4, size: int = 5, **columns: str) -> D
     return near_duplicates(docs, radius, size, **columns).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one, of the smallest id, of each component; of equal ids, the one of the smallest text."""
-    kept = near_duplicates(docs, radius, size, id_col, text_col).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__keep")).distinct()
-    one = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return one.dropDuplicates([id_col])
+# Near copies by similarity. A fingerprint of 64 bits over shingles can't tell a similarity of 0.8, at which a tenth
+# of the bits and more differ, from chance; one of 128 bits over single words can, since a word's change touches one
+# feature and not five. Its links are then checked exactly on the shingles.
+BITS, BLOCKS, FAR = 128, 12, 20
+
+
+def word_fingerprint(text: str) -> bytes:
+    """128 bits, each the majority over the hashes of the distinct words."""
+    words = set(text.encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return bytes(BITS // 8)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "u1").reshape(-1, BITS // 8)
+    count = np.zeros(BITS, "i8")
+    for at in range(0, len(h), 65_536):
+        count += np.unpackbits(h[at : at + 65_536], axis=1).sum(axis=0, dtype="i8")
+    return np.packbits(2 * count > len(h)).tobytes()
+
+
+def closest_forest(prints: np.ndarray, nodes: np.ndarray, split: np.ndarray | None, far: int):
+    """The links of at most ``far`` bits that span what chains so, the closest first; with ``split``, only links
+    between the two sides of it."""
+    left = np.arange(len(nodes)) if split is None else np.flatnonzero(split)
+    right = left if split is None else np.flatnonzero(~split)
+    wide = prints.view(">u8").reshape(-1, 2)
+    found = []
+    for i in left:
+        d = np.bitwise_count(wide[right] ^ wide[i]).sum(axis=1, dtype="i8")
+        near = np.flatnonzero(d <= far)
+        if split is None:
+            near = near[right[near] > i]
+        found.append(np.column_stack([d[near], np.full(len(near), i), right[near]]))
+    forest = Forest(len(nodes))
+    every = np.concatenate(found) if found else np.empty((0, 3), "i8")
+    for d, i, j in every[np.argsort(every[:, 0], kind="stable")].tolist():
+        if forest.join(i, j):
+            yield int(nodes[i]), int(nodes[j])
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key (of the text) and group: texts whose shingles are ``similarity`` alike, in chains, share a group.
+    Equal texts are one node. Shards are blocks of the fingerprint together with a range of the number of words, and
+    each keeps the closest links that span it, so copies of a text cost links in proportion to their number."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+    def print_all():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = texts_of(batch, "text")
+            n = [len(shingle_set(t, size)) for t in texts]
+            return pa.record_batch([*batch.columns[:2], pa.array([word_fingerprint(t) for t in texts], pa.binary()), pa.array(n, pa.int64())], ["doc_id", "key", "fp", "n"])
+
+        return f
+
+    prints = materialize(map_arrow(rows, print_all, "doc_id long, key long, fp binary, n long"))
+    nodes = prints.groupBy("key").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
+
+    def to_shards():
+        edges = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
+        bits = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(edges)]
+
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for i, (fp, n) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                whole = int.from_bytes(fp, "big")
+                band = int(np.log(max(n, 1)) / -np.log(similarity) + 1e-9)
+                out += [(i, (k << 40 | (whole & m) >> edges[k] << 16 | b)) for k, m in enumerate(bits) for b in (band, band + 1)]
+            at = pa.array([i for i, _ in out])
+            return pa.record_batch([pa.array([s for _, s in out], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], ["shard", "node", "fp"])
+
+        return f
+
+    each = materialize(map_arrow(nodes.select(F.col("key").alias("node"), "fp", "n"), to_shards, "shard long, node long, fp binary"))
+    sizes = materialize(each.groupBy("shard").agg(F.count("*").alias("m")).where("m > 1"))
+    fitting = each.join(sizes.where(F.col("m") <= limit).select("shard"), "shard").repartition("shard").sortWithinPartitions("shard")
+
+    def search(batches):
+        for node, fp in runs(batches, ["shard"], ["node", "fp"]):
+            pairs = list(closest_forest(np.frombuffer(b"".join(fp), "u1"), node, None, FAR))
+            if pairs:
+                yield pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+
+    found = fitting.mapInArrow(search, "a long, b long")
+    large = sizes.where(F.col("m") > limit).withColumn("blocks", F.ceil(2 * F.col("m") / limit).cast("int"))
+    if not large.isEmpty():
+        dealt = each.join(large, "shard").withColumn("own", F.pmod(F.xxhash64("fp", "node"), F.col("blocks")).cast("int"))
+        pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shard", "node", "fp", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+        def compare(g: pd.DataFrame) -> pd.DataFrame:
+            p, q = int(g["p"].iloc[0]), int(g["q"].iloc[0])
+            split = None if p == q else (g["own"] == p).to_numpy()
+            return pd.DataFrame(list(closest_forest(np.frombuffer(b"".join(g["fp"]), "u1"), g["node"].to_numpy(), split, FAR)), columns=["a", "b"], dtype="i8")
+
+        found = found.unionByName(pairs.groupBy("shard", "p", "q").applyInPandas(compare, "a long, b long"))
+    edges = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
+
+    def sets_of():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.record_batch([batch.column(0), pa.array([shingle_set(t, size).tobytes() for t in texts_of(batch, "text")], pa.binary())], ["key", "set"])
+
+        return f
+
+    sets = map_arrow(rows.select("key", "text").join(ends, "key", "left_semi"), sets_of, "key long, set binary")
+    sets = materialize(sets.groupBy("key").agg(F.first("set").alias("set")))
+
+    def check():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+        return f
+
+    both = edges.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    parts = connected_components(map_arrow(both.select("a", "b", "x", "y"), check, "a long, b long"))
+    return prints.join(materialize(parts), prints["key"] == F.col("node"), "left").select("doc_id", prints["key"], F.coalesce("component", prints["key"]).alias("group"))
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one of each group of near copies: the one of the smallest id, null ids last; of rows that
+    are equal in id and text, one."""
+    groups = materialize(near_copies(docs, similarity, size, id_col=id_col, text_col=text_col))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("x")
+    kept = groups.groupBy("group").agg(first).select(F.col("x.doc_id").alias("__id"), F.col("x.key").alias("__key"))
+    one = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__key")), "left_semi")
+    again = groups.groupBy("doc_id", "key").count().where("count > 1")
+    return one if again.isEmpty() else one.dropDuplicates([id_col, text_col])
