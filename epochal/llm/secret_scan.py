@@ -118,7 +118,7 @@ def covered(text: str, spans: list, mask: str) -> str:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", n_chars_col: str | None = "n_chars", text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repo_col: str = "doc_id", **options) -> DataFrame:
     """The documents with their live-looking secrets replaced; widely shared examples stay."""
-    columns = (id_col, text_col, owner_col, repo_col)
+    columns, names = (id_col, text_col, owner_col, repo_col), docs.columns
     spans = scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col, **options)
     live = spans.select("key", F.filter("spans", lambda x: x["live"]).alias("spans")).where(F.size("spans") > 0)
     live = live.groupBy("key").agg(F.first("spans").alias("spans"))
@@ -128,7 +128,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", n_chars_col: str | None = "n
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, spans_at = batch.schema.get_field_index(text_col), batch.schema.get_field_index("__spans")
             texts = [t if s is None else covered(t, [(x["start"], x["end"]) for x in s], mask) for t, s in zip(batch.column(at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True)]
-            return batch.set_column(at, text_col, pa.array(texts, pa.string())).select(docs.columns)
+            return batch.set_column(at, text_col, pa.array(texts, pa.string())).select(names)
 
         return f
 
