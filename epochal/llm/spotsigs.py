@@ -36,14 +36,16 @@ def with_spots(rows: DataFrame, name: str, text: Column, chain: int = 2) -> Data
     t = {k: f"__{name}_{k}" for k in ("words", "runs", "last", "chains")}
     plain = F.regexp_replace(F.lower(text), r"[^\pL\pN]+", " ")
     rows = rows.withColumn(t["words"], F.filter(F.split(plain, " "), lambda w: w != ""))
-    # One stretch for each content word: the anchors before it, marked, and itself.
-    marked = F.array_join(F.transform(t["words"], lambda w: F.when(w.isin(sorted(set(ANCHORS))), F.concat(F.lit("!"), w)).otherwise(w)), " ")
-    rows = rows.withColumn(t["runs"], F.transform(F.regexp_extract_all(marked, F.lit("(?:![^ ]+ )*[^ !]+"), F.lit(0)), lambda r: F.split(r, " ")))
+    # One stretch for each content word: the anchors before it, and itself. (A pattern with a repeated group would
+    # overflow the matcher's stack on a long run of anchors.)
+    ended = F.array_join(F.transform(t["words"], lambda w: F.when(w.isin(sorted(set(ANCHORS))), w).otherwise(F.concat(w, F.lit("|")))), " ")
+    rows = rows.withColumn(t["runs"], F.split(ended, "[|]"))
+    rows = rows.withColumn(t["runs"], F.transform(F.slice(t["runs"], 1, F.size(t["runs"]) - 1), lambda r: F.split(F.ltrim(r), " ")))
     rows = rows.withColumn(t["last"], F.transform(t["runs"], lambda r: F.element_at(r, -1)))
     last = F.col(t["last"])
 
     def signed(run: Column, i: Column) -> Column:
-        return F.transform(F.slice(run, 1, F.size(run) - 1), lambda a: F.xxhash64(a, *[F.get(last, i + j) for j in range(chain)]))
+        return F.transform(F.slice(run, 1, F.size(run) - 1), lambda a: F.xxhash64(F.concat(F.lit("!"), a), *[F.get(last, i + j) for j in range(chain)]))
 
     rows = rows.withColumn(t["chains"], F.flatten(F.transform(F.slice(t["runs"], 1, F.greatest(F.size(t["runs"]) - (chain - 1), F.lit(0))), signed)))
     words = F.col(t["words"])
