@@ -34,8 +34,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     digest, parts, sizes = xxhash.xxh64_intdigest, [], np.zeros(len(texts), "i8")
     for i, t in enumerate(texts):
         words = t.encode("utf-8", "surrogatepass").lower().split()
-        for w in set(words) - known.keys():
-            known[w] = digest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = digest(w)
         parts.append(np.fromiter(map(known.__getitem__, words), "u8", len(words)))
         sizes[i] = len(words)
     return np.concatenate(parts) if parts else np.empty(0, "u8"), sizes
