@@ -35,7 +35,7 @@ WINDOW = 64
 GRAM = 5
 #: The phrase that leads each window, and what stands in the ordinary dictionary where the toxic one has its own part.
 LEAD, FILL = bytes(range(128, 160)), b"\x01"
-SHAPE = {"strategy": zstandard.STRATEGY_LAZY2, "min_match": 5, "window_log": 18, "hash_log": 15, "chain_log": 15, "search_log": 7, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+SHAPE = {"strategy": zstandard.STRATEGY_LAZY2, "min_match": 5, "window_log": 18, "hash_log": 17, "chain_log": 18, "search_log": 7, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
 
 def words(text: str) -> list[bytes]:
@@ -99,7 +99,7 @@ def distinctive(toxic: list[str], ordinary: list[str], least: float, ratio: floa
     return sorted(kept, key=lambda g: (good[g], g))[-2000:]
 
 
-def fit(toxic: list[str], ordinary: list[str], least: float = 0.01, ratio: float = 12.0, size: int = 16_384, rounds: int = 4, seed: int = 1) -> Model:
+def fit(toxic: list[str], ordinary: list[str], least: float = 0.01, ratio: float = 30.0, size: int = 16_384, rounds: int = 4, seed: int = 1) -> Model:
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if not toxic or not ordinary:
         return Model(b"", b"", ())
