@@ -49,7 +49,7 @@ def segments(log: DataFrame, limit: int, order: str = "epoch", size: str = "byte
     before = sums.select("__r", F.coalesce(F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     w = Window.partitionBy("__r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("__b") + F.coalesce(F.sum(size).over(w), F.lit(0))
-    return ranged.join(before, "__r").withColumn("segment", F.expr(f"cast(0 as bigint)") + F.floor(at / limit)).drop("__r", "__b")
+    return ranged.join(before, "__r").withColumn("segment", F.floor(at / limit)).drop("__r", "__b")
 
 
 def group_commits(commits: DataFrame, syncs: DataFrame, width: int = 1000) -> DataFrame:
