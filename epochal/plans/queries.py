@@ -650,3 +650,75 @@ def o3_first_violations(spark, d):
 def st1_tumbling_windows(spark, d):
     e = read(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
     return e.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+# --- more of the history
+
+
+@query(f"WITH {H} SELECT DISTINCT tx_id, unnest([page, rpage]) AS page FROM t")
+def u2_used_pages(spark, d):
+    t = derived(spark, d)
+    return t.select("tx_id", "page").unionByName(t.select("tx_id", F.col("rpage").alias("page"))).distinct()
+
+
+@query(f"WITH {H}, o AS (SELECT writer_id, page, commit_epoch FROM h WHERE kind = 'click' UNION ALL SELECT writer_id, page, commit_epoch FROM h WHERE kind = 'purchase') SELECT writer_id, page, max(commit_epoch) AS own_epoch FROM o GROUP BY ALL")
+def o2_merged_own_commits(spark, d):
+    t = derived(spark, d).select("writer_id", "page", "commit_epoch", "kind")
+    both = t.where("kind = 'click'").unionByName(t.where("kind = 'purchase'"))
+    return both.groupBy("writer_id", "page").agg(F.max("commit_epoch").alias("own_epoch"))
+
+
+@query(f"WITH {H} SELECT commit_epoch // 64 AS batch, max(tx_id % 4) AS sync_level, count(*) AS requests FROM h WHERE kind <> 'view' GROUP BY 1")
+def b13_batch_durability(spark, d):
+    return writers(spark, d).groupBy(F.expr("commit_epoch div 64").alias("batch")).agg(F.max(F.col("tx_id") % 4).alias("sync_level"), F.count("*").alias("requests"))
+
+
+@query(f"WITH {H} SELECT writer_id, count(*) FILTER (kind = 'view') AS reads, count(*) FILTER (kind NOT IN ('view', 'error')) AS writes, count(*) FILTER (kind = 'error') AS busy, round(100.0::DOUBLE * count(*) FILTER (kind = 'error') / count(*), 6) AS busy_percent FROM h GROUP BY 1")
+def a7_failed_attempts(spark, d):
+    n = lambda c: F.sum(c.cast("long"))
+    k = F.col("kind")
+    busy = n(k == "error")
+    return derived(spark, d).groupBy("writer_id").agg(n(k == "view").alias("reads"), n(~k.isin("view", "error")).alias("writes"), busy.alias("busy"), F.round(100.0 * busy / F.count("*"), 6).alias("busy_percent"))
+
+
+@query()
+def a16_content_hash(spark, d):
+    return stats.content_hash(read(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
+
+
+@query("SELECT o_custkey AS n, o_orderpriority AS variant, max(o_orderkey) AS line, max_by(o_totalprice, o_orderkey) AS tx_s FROM orders GROUP BY ALL")
+def s17_last_line_of_each_key(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_custkey").alias("n"), F.col("o_orderpriority").alias("variant"), F.col("o_orderkey").alias("line"), F.col("o_totalprice").alias("tx_s"))
+    return rows.groupBy("n", "variant").agg(F.max("line").alias("line"), F.max_by("tx_s", "line").alias("tx_s"))
+
+
+@query("SELECT code, CASE WHEN code & 255 = 0 THEN 'ok' WHEN code & 255 IN (5, 6) THEN 'retry' WHEN code & 255 = 13 THEN 'full' ELSE 'error' END AS class FROM (SELECT DISTINCT o_orderkey % 1024 AS code FROM orders)")
+def f13_result_classes(spark, d):
+    codes = read(spark, d, "orders").select((F.col("o_orderkey") % 1024).alias("code")).distinct()
+    return codes.select("code", packing.result_class(F.col("code")).alias("class"))
+
+
+@query("SELECT l_returnflag AS file, count(*) FILTER (l_linestatus = 'O') AS same, count(*) FILTER (l_linestatus <> 'O') AS differ, count(*) AS n FROM lineitem GROUP BY 1")
+def q10_suite_comparison(spark, d):
+    l = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("file")).pivot("l_linestatus", ["O", "F"]).agg(F.count("l_orderkey"))
+    return l.select("file", F.coalesce("O", F.lit(0)).alias("same"), F.coalesce("F", F.lit(0)).alias("differ"), (F.coalesce("O", F.lit(0)) + F.coalesce("F", F.lit(0))).alias("n"))
+
+
+@query("SELECT worker, 100 AS inserts, TRUE AS valid FROM (SELECT unnest(range(16)) AS worker)")
+def q8_independent_inserts(spark, d):
+    from ..operators.workloads import independent, invariant
+
+    return invariant(independent(spark, 16, 100), 100)
+
+
+@query("SELECT 16 * 100 AS committed, 16 * 100 AS total, TRUE AS valid")
+def q8_hot_counter(spark, d):
+    from ..operators.workloads import hot_rows, hot_total
+
+    return hot_total(hot_rows(spark, 16, 100, 1))
+
+
+@query(f"WITH {H} SELECT DISTINCT 'c' || lpad(k::VARCHAR, 6, '0') AS name, CASE WHEN cents >= 100000 THEN format('{{:,}}', cents) ELSE cents::VARCHAR END AS shown FROM h WHERE tx_id < 500")
+def f15_number_format(spark, d):
+    t = derived(spark, d).where("tx_id < 500")
+    return t.select(F.concat(F.lit("c"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("name"), F.when(F.col("cents") >= 100_000, F.format_number("cents", 0)).otherwise(F.col("cents").cast("string")).alias("shown")).distinct()
