@@ -69,18 +69,18 @@ def spelled(prints: Column) -> Column:
 def neighbours(docs: DataFrame, block: int) -> DataFrame:
     """Every document with the text of the next one by ascending id (after the last, the first), dealt by ranges of
     ids; only each range's first document is needed elsewhere."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.expr(f"doc_id div {block}"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.expr(f"coalesce(doc_id div {block}, -9223372036854775807)"))
     order = [F.asc_nulls_first("doc_id"), F.asc("text")]
     least = F.struct(F.col("doc_id").isNotNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("text").alias("text"))
     # One row for each range of ids, in their order, with the first text of the next one.
     firsts = rows.groupBy("block").agg(F.min(least).alias("first"))
-    ranges = Window.orderBy(F.asc_nulls_first("block"))
+    ranges = Window.orderBy("block")
     whole = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = firsts.select("block", F.coalesce(F.lead("first.text").over(ranges), F.first("first.text").over(whole)).alias("after"))
-    after = after.withColumnRenamed("block", "of")
     within = Window.partitionBy("block").orderBy(*order)
     here = rows.withColumn("following", F.lead("text").over(within))
-    return here.join(after, here["block"].eqNullSafe(after["of"])).select("doc_id", "text", F.coalesce("following", "after").alias("following"))
+    # The join needs the same partitions as the window, so texts are dealt out once.
+    return here.join(after, "block").select("doc_id", "text", F.coalesce("following", "after").alias("following"))
 
 
 def report(docs: DataFrame, block: int = 500) -> DataFrame:
