@@ -100,9 +100,8 @@ def report(docs: DataFrame, **options) -> DataFrame:
     """The scan with its spans spelled kind:start:end, and how many of them look live or are widely shared."""
     names = F.array(*[F.lit(k) for k in KINDS])
     said = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
+    total = F.coalesce(F.size("spans"), F.lit(0)).cast("long")
     live = F.coalesce(F.size(F.filter("spans", lambda x: x["live"])), F.lit(0)).cast("long")
-    total = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long")
-    live = F.when(F.col("spans").isNull(), F.lit(0)).otherwise(live).cast("long")
     return scan(docs, **options).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(said, F.lit("")).alias("spans"), live.alias("n_live"), (total - live).alias("n_shared"))
 
 

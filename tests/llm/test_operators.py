@@ -184,6 +184,7 @@ def test_secrets(docs, empty):
     assert by_id(got, "base_sha256") == expected(lambda t: hashlib.sha256(spell(t).encode()).hexdigest())
     assert by_id(got, "spans") == expected(spell)
     assert secret_scan.report(empty).count() == 0
+    assert all((r["n_live"], r["n_shared"]) == (len(r["spans"].split(",")) if r["spans"] else 0, 0) for r in got)
     texts = by_id(secret_scan.redact(docs).collect(), "text")
     assert texts[55] == ["[SECRET] end"] or "0641917" not in texts[55][0]
     assert texts[7] == expected(str)[7] and secret_scan.redact(docs).columns == docs.columns
