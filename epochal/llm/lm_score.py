@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores against the rest of the corpus.
 
-Documents are dealt into batches. Each batch explodes its texts into n-grams of every order and sends each distinct
-n-gram with its count to the partition of the n-gram's hash. There the counts of all batches add up to the count
+The documents of a task are cut into batches. Each batch explodes its texts into n-grams of every order and sends
+each distinct n-gram with its count to the partition of the n-gram's hash. There the counts of all batches add up to the count
 table's rows, which are joined back to the batches that asked; a batch then sums the scores of its documents. A
 batch asks for an n-gram once, however often it holds it, so a frequent n-gram is no one task's work, and what is
 gathered is every n-gram of the corpus.
@@ -20,6 +20,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,40 +63,77 @@ def asked(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return np.unique(np.concatenate([h[ok] for h, ok in grams]), return_counts=True)
 
 
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, byte by byte of all, so that the high bytes, mostly zeros, take no room."""
+    return np.diff(keys, prepend=np.zeros(1, "u8")).view("u1").reshape(-1, 8).T.tobytes()
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, "u1").reshape(8, -1).T.copy().view("u8").ravel(), dtype="u8")
+
+
 def scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, batch_chars: int = 6_000_000, bucket_ngrams: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log_score (the sum of natural logarithms) and mean_score of every document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    batches = int(chars // batch_chars) + 1
+    spaces = r"[\x09-\x0D\x20]+"
+    words_in = F.size(F.filter(F.split("text", spaces), lambda w: w != ""))
+    chars, everything = (x or 0 for x in rows.agg(F.sum(F.length("text")), F.sum(words_in)).first())
     buckets = int(chars * order // 5 // bucket_ngrams) + 1
     # Sorted hashes are cut into ranges of equal width, one for each bucket.
     cuts = np.array([(i << 64) // buckets for i in range(1, buckets)], "u8")
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
 
-    def ask(group: pa.Table) -> pa.Table:
-        words, sizes = word_hashes(group["text"].to_pylist())
-        keys, counts = asked(ngrams(words, sizes, order))
-        ends = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
-        parts = [(keys[s:e].tobytes(), counts[s:e].astype("u4").tobytes()) for s, e in zip(ends, ends[1:], strict=False)]
-        n = len(parts)
-        return pa.table({"batch": pa.array([group["batch"][0].as_py()] * n, pa.int32()), "bucket": pa.array(range(n), pa.int32()), "words": pa.array([len(words)] + [0] * (n - 1), pa.int64()), "keys": pa.array([k for k, _ in parts], pa.binary()), "counts": pa.array([c for _, c in parts], pa.binary())})
+    def cut(batches):
+        """Batches of texts, compressed, numbered within their task: the same ones whenever the task runs."""
+        part, n = TaskContext.get().partitionId(), 0
+        ids, texts, size = [], [], 0
+
+        def done():
+            coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+            blob, ends = zstandard.compress(b"".join(coded), 3), np.cumsum([len(t) for t in coded], dtype="i8")
+            return pa.record_batch([pa.array([part << 32 | n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([blob], pa.binary())], ["batch", "ids", "ends", "blob"])
+
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size >= batch_chars or len(ids) >= 50_000:
+                    yield done()
+                    ids, texts, size, n = [], [], 0, n + 1
+        if ids:
+            yield done()
+
+    def opened(ends, blob) -> list[str]:
+        whole = zstandard.decompress(blob)
+        return [whole[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) else []
+
+    # Written down, so that both who ask and who score see the same batches whatever the input's plan is.
+    dealt = materialize(rows.mapInArrow(cut, "batch long, ids array<long>, ends array<long>, blob binary"))
+
+    def ask(batches):
+        for group in batches:
+            for batch, ends, blob in zip(*(group[c].to_pylist() for c in ("batch", "ends", "blob")), strict=True):
+                words, sizes = word_hashes(opened(ends, blob))
+                keys, counts = asked(ngrams(words, sizes, order))
+                at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+                parts = [(squeezed(keys[s:e]), counts[s:e].astype("u4").view("u1").reshape(-1, 4).T.tobytes()) for s, e in zip(at, at[1:], strict=False)]
+                yield pa.record_batch([pa.array([batch] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([k for k, _ in parts], pa.binary()), pa.array([c for _, c in parts], pa.binary())], ["batch", "bucket", "keys", "counts"])
 
     def add_up(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, "u8") for k in group["keys"].to_pylist()]
-        counts = [np.frombuffer(c, "u4") for c in group["counts"].to_pylist()]
+        keys = [unsqueezed(k) for k in group["keys"].to_pylist()]
+        counts = [np.frombuffer(c, "u1").reshape(4, -1).T.copy().view("u4").ravel() for c in group["counts"].to_pylist()]
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(where, np.concatenate(counts), len(distinct)).astype("u8")[where]
         ends = np.cumsum([len(k) for k in keys])
-        out = [t.astype("u4" if len(t) == 0 or t.max() < 1 << 32 else "u8") for t in np.split(total, ends[:-1])]
+        out = [t.astype("u1" if len(t) == 0 or t.max() < 1 << 8 else "u4" if t.max() < 1 << 32 else "u8") for t in np.split(total, ends[:-1])]
         return pa.table({"batch": group["batch"], "bucket": group["bucket"], "wide": pa.array([t.dtype.itemsize for t in out], pa.int32()), "totals": pa.array([t.tobytes() for t in out], pa.binary())})
 
-    requests = materialize(dealt.groupBy("batch").applyInArrow(ask, "batch int, bucket int, words long, keys binary, counts binary"))
-    everything = requests.agg(F.sum("words")).first()[0] or 0
-    answers = requests.groupBy("bucket").applyInArrow(add_up, "batch int, bucket int, wide int, totals binary")
+    requests = dealt.mapInArrow(ask, "batch long, bucket int, keys binary, counts binary")
+    answers = requests.groupBy("bucket").applyInArrow(add_up, "batch long, bucket int, wide int, totals binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = left["doc_id"], left["text"].to_pylist()
-        words, sizes = word_hashes(texts)
+        ids = pa.array(left["ids"][0].as_py(), pa.int64())
+        words, sizes = word_hashes(opened(left["ends"][0].as_py(), left["blob"][0].as_py()))
         grams = ngrams(words, sizes, order)
         keys, _ = asked(grams)
         got = sorted(zip(right["bucket"].to_pylist(), right["wide"].to_pylist(), right["totals"].to_pylist(), strict=True))
