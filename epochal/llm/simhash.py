@@ -182,13 +182,13 @@ def links(prints: DataFrame, radius: int = 4, target: int = 64, limit: int = 409
     return found.unionByName(pairs.groupBy("choice", "bits", "p", "q").applyInPandas(compare, "a long, b long"))
 
 
-def runs(batches, keys: list[str], values: list[str]):
-    """The value columns of each run of equal keys in batches that are sorted by them."""
+def runs(batches, keys: list[str], values: list[str], rows: int = 50_000):
+    """The value columns of each run of equal keys in batches that are sorted by them; ``rows`` are read at once."""
     rest: list[pa.RecordBatch] = []
     for batch in [*batches, None]:
         if batch is not None:
             rest.append(batch)
-            if sum(b.num_rows for b in rest) < 50_000:
+            if sum(b.num_rows for b in rest) < rows:
                 continue
         if not rest:
             return
@@ -239,30 +239,33 @@ def word_fingerprint(text: str) -> bytes:
     return np.packbits(2 * count > len(h)).tobytes()
 
 
-def closest_forest(prints: np.ndarray, nodes: np.ndarray, split: np.ndarray | None, far: int):
-    """The links of at most ``far`` bits that span what chains so, the closest first; with ``split``, only links
-    between the two sides of it."""
-    left = np.arange(len(nodes)) if split is None else np.flatnonzero(split)
-    right = left if split is None else np.flatnonzero(~split)
-    wide = prints.view(">u8").reshape(-1, 2)
-    found = []
-    for i in left:
-        d = np.bitwise_count(wide[right] ^ wide[i]).sum(axis=1, dtype="i8")
-        near = np.flatnonzero(d <= far)
-        if split is None:
-            near = near[right[near] > i]
-        found.append(np.column_stack([d[near], np.full(len(near), i), right[near]]))
-    forest = Forest(len(nodes))
-    every = np.concatenate(found) if found else np.empty((0, 3), "i8")
-    for d, i, j in every[np.argsort(every[:, 0], kind="stable")].tolist():
-        if forest.join(i, j):
-            yield int(nodes[i]), int(nodes[j])
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alike_links(sets: list[np.ndarray], parts: np.ndarray, similarity: float):
+    """Pairs of places whose sets are ``similarity`` alike, enough to join all parts that such pairs join. A pair
+    joins only after the test on the sets. Of each pair of two parts, one is not in the largest part, so only those
+    ask."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], "i8")
+    _, part = np.unique(parts, return_inverse=True)
+    counts = np.bincount(part)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), sizes)[np.argsort(at, kind="stable")]
+    many = np.bincount(at)
+    first, begin = np.cumsum(many) - many, np.concatenate([[0], np.cumsum(sizes)])
+    forest = Forest(len(counts))
+    for i in np.flatnonzero(part != counts.argmax()).tolist():
+        mine = at[begin[i] : begin[i + 1]]
+        n = many[mine]
+        both = np.bincount(owner[np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=m)
+        for j in np.flatnonzero(both >= similarity * (sizes[i] + sizes - both)).tolist():
+            if forest.join(int(part[i]), int(part[j])):
+                yield i, j
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (of the text) and group: texts whose shingles are ``similarity`` alike, in chains, share a group.
-    Equal texts are one node. Shards are blocks of the fingerprint together with a range of the number of words, and
-    each keeps the closest links that span it, so copies of a text cost links in proportion to their number."""
+    Equal texts are one node. Shards are blocks of the fingerprint together with a range of the number of words.
+    Links are only such pairs as have passed the exact test, and every pair of a shard that they don't connect has
+    been tested. Copies of a text cost links in proportion to their number."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
@@ -293,28 +296,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, limit:
         return f
 
     each = materialize(map_arrow(nodes.select(F.col("key").alias("node"), "fp", "n"), to_shards, "shard long, node long, fp binary"))
-    sizes = materialize(each.groupBy("shard").agg(F.count("*").alias("m")).where("m > 1"))
-    fitting = each.join(sizes.where(F.col("m") <= limit).select("shard"), "shard").repartition("shard").sortWithinPartitions("shard")
-
-    def search(batches):
-        for node, fp in runs(batches, ["shard"], ["node", "fp"]):
-            pairs = list(closest_forest(np.frombuffer(b"".join(fp), "u1"), node, None, FAR))
-            if pairs:
-                yield pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
-
-    found = fitting.mapInArrow(search, "a long, b long")
-    large = sizes.where(F.col("m") > limit).withColumn("blocks", F.ceil(2 * F.col("m") / limit).cast("int"))
-    if not large.isEmpty():
-        dealt = each.join(large, "shard").withColumn("own", F.pmod(F.xxhash64("fp", "node"), F.col("blocks")).cast("int"))
-        pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shard", "node", "fp", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-
-        def compare(g: pd.DataFrame) -> pd.DataFrame:
-            p, q = int(g["p"].iloc[0]), int(g["q"].iloc[0])
-            split = None if p == q else (g["own"] == p).to_numpy()
-            return pd.DataFrame(list(closest_forest(np.frombuffer(b"".join(g["fp"]), "u1"), g["node"].to_numpy(), split, FAR)), columns=["a", "b"], dtype="i8")
-
-        found = found.unionByName(pairs.groupBy("shard", "p", "q").applyInPandas(compare, "a long, b long"))
-    edges = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # Shards of the same nodes are one. First each node is compared with the least of its shard.
+    of = each.groupBy("shard").agg(F.count("*").alias("m"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    sizes = materialize(of.where("m > 1").groupBy("m", "least", "most", "all").agg(F.min("shard").alias("shard")).select("shard", "m", "least"))
+    held = materialize(each.select("shard", "node").join(sizes, "shard"))
+    edges = materialize(held.where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     ends = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
 
     def sets_of():
@@ -338,7 +324,40 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, limit:
         return f
 
     both = edges.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
-    parts = connected_components(map_arrow(both.select("a", "b", "x", "y"), check, "a long, b long"))
+    true = materialize(map_arrow(both.select("a", "b", "x", "y"), check, "a long, b long"))
+    # Then shards that are still of several parts get the sets themselves, and all pairs of two parts are compared.
+    parts = materialize(connected_components(true)).withColumnRenamed("component", "part")
+    parted = materialize(held.where("m > 2").join(parts, "node", "left").select("shard", "node", "m", F.coalesce("part", "node").alias("part")))
+    mixed = parted.groupBy("shard").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("shard")
+    asked = materialize(parted.join(mixed, "shard"))
+    if not asked.isEmpty():
+        full = asked.join(sets.withColumnRenamed("key", "node"), "node")
+
+        def links_of(node, part, packed):
+            pairs = list(alike_links([np.frombuffer(x, "u8") for x in packed], part, similarity))
+            return [int(node[i]) for i, _ in pairs], [int(node[j]) for _, j in pairs]
+
+        def search(batches):
+            for columns in runs(batches, ["shard"], ["node", "part", "set"], 1000):
+                a, b = links_of(*columns)
+                if a:
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        found = full.where(F.col("m") <= limit).select("shard", "node", "part", "set").repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long")
+        if not asked.where(F.col("m") > limit).isEmpty():
+            # A large shard is dealt into blocks, and each two of them are a task's work.
+            dealt = full.where(F.col("m") > limit).withColumn("blocks", F.ceil(2 * F.col("m") / limit).cast("int"))
+            dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+            pairs = pairs.select("shard", "node", "part", "set", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+            def compare(g: pd.DataFrame) -> pd.DataFrame:
+                a, b = links_of(g["node"].to_numpy(), g["part"].to_numpy(), g["set"])
+                return pd.DataFrame({"a": a, "b": b}, dtype="i8")
+
+            found = found.unionByName(pairs.groupBy("shard", "p", "q").applyInPandas(compare, "a long, b long"))
+        true = materialize(true.unionByName(found))
+    parts = connected_components(true)
     return prints.join(materialize(parts), prints["key"] == F.col("node"), "left").select("doc_id", prints["key"], F.coalesce("component", prints["key"]).alias("group"))
 
 

@@ -351,6 +351,27 @@ def test_near_copies(spark, docs, empty):
     assert kept.count(7) == 1 and 59 not in kept and {2, 100, 60, None} <= set(kept) and simhash.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1024, 16])
+def test_near_copies_among_shuffles(spark, limit):
+    rng = np.random.default_rng(9)
+    sentences = [[f"w{v}" for v in rng.integers(0, 3000, 10)] for _ in range(30)]
+    rows = []
+    for i in range(20):
+        words = [w for s in rng.permutation(30) for w in sentences[s]]
+        rows.append((2 * i, " ".join(words)))
+        for at in (60, 61, 62, 63):
+            words[at] = f"new{i}"
+        rows.append((2 * i + 1, " ".join(words)))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    f = simhash.Forest(len(rows))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            f.join(i, j)
+    got = {r["doc_id"]: r["group"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), limit=limit).collect()}
+    assert len({f.find(i) for i in range(40)}) == 20
+    assert all((got[i] == got[j]) == (f.find(i) == f.find(j)) for i, j in itertools.combinations(range(40), 2))
+
+
 # --- personal data
 
 
