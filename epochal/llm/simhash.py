@@ -221,22 +221,29 @@ def report(docs: DataFrame, radius: int = 4, size: int = 5, **columns: str) -> D
     return near_duplicates(docs, radius, size, **columns).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by similarity. A fingerprint of 64 bits over shingles can't tell a similarity of 0.8, at which a tenth
-# of the bits and more differ, from chance; one of 128 bits over single words can, since a word's change touches one
-# feature and not five. Its links are then checked exactly on the shingles.
-BITS, BLOCKS, FAR = 128, 12, 20
+# Near copies by similarity. A fingerprint of majorities can't tell a similarity of 0.8 from chance for every kind of
+# copy: a fifth of new words at the end moves more bits than as many changes in place would. The least hashes of the
+# shingles agree with a probability that is the similarity itself, whatever the kind. Pairs that agree in a band of
+# them are then compared exactly on the shingles.
+BAND, MISS = 3, 1e-5
 
 
-def word_fingerprint(text: str) -> bytes:
-    """128 bits, each the majority over the hashes of the distinct words."""
-    words = set(text.encode("utf-8", "surrogatepass").lower().split())
-    if not words:
-        return bytes(BITS // 8)
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "u1").reshape(-1, BITS // 8)
-    count = np.zeros(BITS, "i8")
-    for at in range(0, len(h), 65_536):
-        count += np.unpackbits(h[at : at + 65_536], axis=1).sum(axis=0, dtype="i8")
-    return np.packbits(2 * count > len(h)).tobytes()
+def factors(similarity: float) -> np.ndarray:
+    """Multipliers of the hashes, ``BAND`` for each band: as many bands as let a pair of the similarity agree in none
+    of them with a probability of ``MISS``."""
+    bands = max(1, int(np.ceil(np.log(MISS) / np.log1p(-(min(similarity, 0.999) ** BAND)))))
+    return np.random.default_rng(SEED).integers(0, 1 << 63, bands * BAND, dtype="u8") * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray, by: np.ndarray) -> list[int]:
+    """The bands of a set of shingles as signed longs; a set without shingles has those of its own."""
+    least = np.zeros(len(by), "u8")
+    if len(hashes):
+        least[:] = np.iinfo("u8").max
+        for at in range(0, len(hashes), 8192):
+            least = np.minimum(least, (by[:, None] * hashes[None, at : at + 8192]).min(axis=1))
+    data = least.reshape(-1, BAND)
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(data)]
 
 
 def alike_links(sets: list[np.ndarray], parts: np.ndarray, similarity: float):
@@ -263,43 +270,27 @@ def alike_links(sets: list[np.ndarray], parts: np.ndarray, similarity: float):
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (of the text) and group: texts whose shingles are ``similarity`` alike, in chains, share a group.
-    Equal texts are one node. Shards are blocks of the fingerprint together with a range of the number of words.
-    Links are only such pairs as have passed the exact test, and every pair of a shard that they don't connect has
+    Equal texts are one node. Shards are bands of the least hashes of the shingles: a pair at the similarity shares
+    none with a probability of ``MISS``, a more alike one with less. Links are only such pairs as have passed the exact test, and every pair of a shard that they don't connect has
     been tested. Copies of a text cost links in proportion to their number."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
-    def print_all():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch, "text")
-            n = [len(shingle_set(t, size)) for t in texts]
-            return pa.record_batch([*batch.columns[:2], pa.array([word_fingerprint(t) for t in texts], pa.binary()), pa.array(n, pa.int64())], ["doc_id", "key", "fp", "n"])
-
-        return f
-
-    prints = materialize(map_arrow(rows, print_all, "doc_id long, key long, fp binary, n long"))
-    nodes = prints.groupBy("key").agg(F.first("fp").alias("fp"), F.first("n").alias("n"))
-
-    def to_shards():
-        edges = [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
-        bits = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(edges)]
+    by = factors(similarity)
 
+    def to_bands():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for i, (fp, n) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                whole = int.from_bytes(fp, "big")
-                band = int(np.log(max(n, 1)) / -np.log(similarity) + 1e-9)
-                out += [(i, (k << 40 | (whole & m) >> edges[k] << 16 | b)) for k, m in enumerate(bits) for b in (band, band + 1)]
-            at = pa.array([i for i, _ in out])
-            return pa.record_batch([pa.array([s for _, s in out], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], ["shard", "node", "fp"])
+            found = [bands(shingle_set(t, size), by) for t in texts_of(batch, "text")]
+            return pa.record_batch([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
 
         return f
 
-    each = materialize(map_arrow(nodes.select(F.col("key").alias("node"), "fp", "n"), to_shards, "shard long, node long, fp binary"))
+    prints = materialize(map_arrow(rows, to_bands, "doc_id long, key long, bands array<long>"))
+    each = materialize(prints.groupBy("key").agg(F.first("bands").alias("bands")).select(F.col("key").alias("node"), F.explode("bands").alias("shard")))
     # Shards of the same nodes are one. First each node is compared with the least of its shard.
     of = each.groupBy("shard").agg(F.count("*").alias("m"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"))
     sizes = materialize(of.where("m > 1").groupBy("m", "least", "most", "all").agg(F.min("shard").alias("shard")).select("shard", "m", "least"))
-    held = materialize(each.select("shard", "node").join(sizes, "shard"))
+    held = materialize(each.join(sizes, "shard"))
     edges = materialize(held.where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     ends = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
 

@@ -372,6 +372,31 @@ def test_near_copies_among_shuffles(spark, limit):
     assert all((got[i] == got[j]) == (f.find(i) == f.find(j)) for i, j in itertools.combinations(range(40), 2))
 
 
+def test_near_copies_of_each_kind(spark):
+    rng = np.random.default_rng(4)
+    rows, pairs = [], collections.Counter()
+    for i in range(240):
+        n = int(rng.integers(40, 400))
+        words = [f"w{v}" for v in rng.zipf(1.3, n) % 20_000]
+        new = [f"w{v}" for v in rng.zipf(1.3, n) % 20_000]
+        copy = list(words)
+        if i % 3 == 0:
+            copy = words + new[: n * 22 // 100]
+        elif i % 3 == 1:
+            copy = words[n * 18 // 100 :]
+        else:
+            for at in rng.integers(0, n, max(1, n // 60)).tolist():
+                copy[at] = f"x{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["group"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(240):
+        a, b = (set(simhash.shingle_set(rows[2 * i + k][1], 5).tolist()) for k in (0, 1))
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs[i % 3] += 1
+            assert got[2 * i] == got[2 * i + 1], (i, len(a & b) / len(a | b))
+    assert min(pairs[k] for k in range(3)) > 30
+
+
 # --- personal data
 
 
