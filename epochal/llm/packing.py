@@ -31,8 +31,9 @@ from .shared import map_arrow, materialize, texts_of, tokenizer_path
 
 #: How byte-level vocabularies split a text before merging (a fixed value of their published tokenizers).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space on which regular-expression libraries differ, and the special string: such texts take the slower library.
-ODD = re.compile("[\x1c-\x1f\x85]|<\\|endoftext\\|>")
+#: White space on which regular-expression libraries differ, the special string, and runs of white space that would
+#: exhaust the stack of the faster one: such texts take the slower library.
+ODD = re.compile(r"[\x1c-\x1f\x85]|<\|endoftext\|>|\s{10000}")
 
 
 class ByteEncoder:

@@ -129,6 +129,12 @@ def test_packing(docs, empty):
     assert all(len(r["ids"]) == r["length"] for r in packing.pack(docs, 64).collect())
 
 
+def test_packing_of_long_white_space():
+    e = packing.encoder(P.path("byte_bpe_50k.json"))
+    for t in ("a" + " " * 1_000_000 + "b", "\n" * 3_000_000, "a" + " " * 9_999 + "b" + "\t\n" * 4_999 + "c"):
+        assert e.encode(t).tolist() == e.library.encode(t, add_special_tokens=False).ids
+
+
 def check_sequences(rows, width):
     seqs = collections.defaultdict(list)
     for r in rows:
