@@ -286,6 +286,22 @@ def test_nearest_vectors(spark):
     assert ann.nearest(few.where("false")).count() == 0
 
 
+def test_nearest_vectors_of_a_large_table(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(70_000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(d, every=1000, tables=3).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in range(0, len(x), 1000):
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.98
+
+
 # --- SimHash
 
 
