@@ -299,9 +299,33 @@ def test_nearest_vectors_of_a_large_table(spark):
         s = x @ x[q]
         s[q] = -np.inf
         recall.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    print(np.mean(recall))
     assert np.mean(recall) >= 0.98
 
 
+@pytest.mark.parametrize("n", [10, 21])
+def test_nearest_vectors_are_complete(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    d = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(d, every=5).collect()}
+    s = x @ x.T
+    assert got == {(q, r + 1): v for q in range(0, n, 5) for r, v in enumerate([v for v in np.argsort(-s[q]).tolist() if v != q][:20])}
+
+
+def test_ties_go_to_the_smaller_ids(spark):
+    vecs = [v for v in itertools.product((0.0, 1.0), repeat=10) if sum(v) == 5]
+    d = spark.createDataFrame([(i, list(v)) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    x = np.array(vecs)
+    got = collections.defaultdict(list)
+    for r in sorted(ann.nearest(d, k=2, tables=1, probes=32).collect()):
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(len(x)), -s))[:2].tolist()
+
+
 # --- SimHash
 
 
