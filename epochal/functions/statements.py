@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-COMMENT = r"^(?:\s|--[^\n]*(?:\n|$)|/\*(?s:.*?)\*/)+"
+#: Possessive throughout: the matcher then walks in a loop, where a group that may give back would take a stack frame a
+#: turn and overflow on some thousand blanks. A comment that isn't closed goes to the end.
+COMMENT = r"^(?:\s++|--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|$))*+"
 
 
 def bare(sql: Column) -> Column:
@@ -19,7 +21,7 @@ def starts_with(sql: Column, *words: str) -> Column:
 
 def is_read(sql: Column) -> Column:
     """Begins with a query, perhaps in brackets."""
-    return bare(sql).rlike(r"(?i)^[(\s]*(?:SELECT|WITH|VALUES)(?![A-Za-z0-9_])")
+    return bare(sql).rlike(r"(?i)^[(\s]*+(?:SELECT|WITH|VALUES)(?![A-Za-z0-9_])")
 
 
 def is_dml(sql: Column) -> Column:
@@ -46,13 +48,30 @@ def is_ddl(sql: Column) -> Column:
     return starts_with(sql, "CREATE", "DROP", "ALTER", "REINDEX", "VACUUM") & ~temp
 
 
-def is_point(sql: Column, key: Column) -> Column:
-    """Addresses one row: an insert of one row, or a change whose condition is an equality of the full key, without
-    a subquery and without a conflict policy."""
+def is_point(sql: Column, *key: Column) -> Column:
+    """Addresses one row: an insert of one row, or a change whose condition is an equality of every column of the
+    key, joined by AND, without a subquery and without a conflict policy."""
     one = starts_with(sql, "INSERT") & ~is_multi_row(sql) & ~has_word(sql, "SELECT")
-    keyed = starts_with(sql, "UPDATE", "DELETE") & sql.rlike(r"(?i)\bWHERE\s+") & sql.rlike(r"(?i)\bWHERE\s+[A-Za-z_]+\s*=\s*[^=<>\s]+\s*;?\s*$") & ~has_word(sql, "SELECT")
-    named = F.lower(F.regexp_extract(sql, r"(?i)\bWHERE\s+([A-Za-z_]+)", 1)) == F.lower(key)
-    return (one | (keyed & named)) & ~has_policy(sql)
+    condition = F.regexp_replace(F.regexp_extract(sql, r"(?is)\bWHERE\s++(.*+)$", 1), r"[\s;]++$", "")
+    parts = F.split(condition, r"(?i)\s++AND\s++")
+    equal = r"^([A-Za-z_][A-Za-z0-9_]*+)\s*+==?\s*+(?:'[^']*+'|[^=<>\s']++)$"
+    named = F.array_sort(F.transform(parts, lambda p: F.lower(F.regexp_extract(p, equal, 1))))
+    keyed = starts_with(sql, "UPDATE", "DELETE") & (condition != "") & named.eqNullSafe(F.array_sort(F.array(*[F.lower(k) for k in key]))) & ~has_word(sql, "SELECT")
+    return (one | keyed) & ~has_policy(sql)
+
+
+def pragma(sql: Column) -> Column:
+    """The name (lower case) and value of a setting that a statement reads or sets; nulls if it is another one."""
+    pattern = r"(?is)^PRAGMA\s++(?:[A-Za-z_]\w*+\s*+\.\s*+)?([A-Za-z_]\w*+)\s*+(?:=\s*+([^;]*+)|\(\s*+([^)]*+)\))?[\s;]*+$"
+    part = lambda i: F.regexp_extract(bare(sql), pattern, i)
+    value = F.trim(F.regexp_replace(F.concat(part(2), part(3)), r"^['\"]|['\"]$", ""))
+    return F.struct(F.when(part(1) != "", F.lower(part(1))).alias("name"), F.when(value != "", value).alias("value"))
+
+
+def no_auto_vacuum(value: Column) -> Column:
+    """Whether a setting of auto_vacuum means none: neither of its two words nor their numbers."""
+    v = F.lower(F.trim(value))
+    return ~(v.isin("full", "incremental") | (v.rlike(r"^[+-]?[0-9]{1,18}$") & v.cast("bigint").isin(1, 2)))
 
 
 def sync_level(value: Column) -> Column:

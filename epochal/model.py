@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def no_affinity(declared: str) -> bool:
@@ -39,6 +41,29 @@ class TableSpec:
         """The columns that a change can write, in order: neither keys nor derived ones."""
         return [c for c in self.columns if c not in self.key and c not in self.derived]
 
+    @classmethod
+    def of(cls, name: str, schema: StructType, key: tuple[str, ...], **more) -> TableSpec:
+        """A table's description from its rows' schema: the declared types are the schema's, in its order."""
+        lacking = [c for c in key if c not in schema.names]
+        if lacking:
+            raise ValueError(f"{name} has no column {lacking[0]}")
+        return cls(name, key, {f.name: f.dataType.simpleString().upper() for f in schema.fields}, **more)
+
+    def without_affinity(self) -> list[str]:
+        """The columns whose values are kept and compared by type."""
+        return [c for c, t in self.columns.items() if no_affinity(t)]
+
+    def check_defaults(self, spark: SparkSession) -> None:
+        """Refuses defaults that aren't constants: those that refer to a column or differ from row to row."""
+        row = spark.range(1).select(F.lit(0).alias("__none"))
+        for column, (_, default) in self.added.items():
+            try:
+                row.select(F.expr(default)).schema
+            except (AnalysisException, ParseException) as e:
+                raise ValueError(f"the default of {column} is no constant: {default}") from e
+            if any(w in default.lower() for w in ("rand(", "randn(", "uuid(", "current_", "now(")):
+                raise ValueError(f"the default of {column} is no constant: {default}")
+
     def completed(self, column: str, generation: str = "schema_gen") -> Column:
         """A column of rows of any generation: the default where the row is older than the column. A null that a
         newer row holds stays a null."""
@@ -58,6 +83,37 @@ class Catalog:
     def __getitem__(self, name: str) -> TableSpec:
         return self.tables[name.lower()]
 
+    def unmergeable(self, triggers: tuple[str, ...] = (), virtual: tuple[str, ...] = (), encoding: str = "UTF-8", reserved: int = 0) -> str | None:
+        """Why no transaction of this database can be merged row by row; null if they can."""
+        if encoding.upper() != "UTF-8":
+            return "text encoding"
+        if reserved:
+            return "reserved bytes"
+        if triggers:
+            return "trigger"
+        if virtual:
+            return "virtual table"
+        return None
+
+    def reasons(self, spark: SparkSession, **database) -> DataFrame:
+        """tbl, catalog_reason: why changes of a table can't be merged: what holds for the whole database, a foreign
+        key to itself, or a circle of keys that the table is in; null if they can. The graph is one of a schema's
+        tables."""
+        whole = self.unmergeable(**database)
+        parents = {t: {k.parent.lower() for k in self.keys if k.child.lower() == t} for t in self.tables}
+
+        def reach(t: str) -> set[str]:
+            found, todo = set(), list(parents[t])
+            while todo:
+                p = todo.pop()
+                if p not in found:
+                    found.add(p)
+                    todo += parents.get(p, ())
+            return found
+
+        why = {t: whole or ("refers to itself" if t in parents[t] else "circle of keys" if t in reach(t) else None) for t in self.tables}
+        return spark.createDataFrame([(self.tables[t].name, why[t]) for t in self.tables], "tbl string, catalog_reason string")
+
 
 @dataclass(frozen=True)
 class Options:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import last_before
+
 
 def value_before(ops: DataFrame, key: str, order: list[str], reset: Column, delta: Column) -> DataFrame:
     """Adds inc and before: how often a key was reset before an operation, and the sum of the changes since."""
@@ -14,14 +16,15 @@ def value_before(ops: DataFrame, key: str, order: list[str], reset: Column, delt
     return lived.withColumn("before", F.coalesce(F.sum(delta).over(within), F.lit(0)))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, epoch: str, value: str, name: str) -> DataFrame:
+def unexplained(ops: DataFrame, key: str, order: list[str], reset: Column, delta: Column, observed: str) -> DataFrame:
+    """The operations that observed another value than the serial order gives them: what their key was before."""
+    return value_before(ops, key, order, reset, delta).where(~F.col(observed).eqNullSafe(F.col("before")))
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, epoch: str, value: str, name: str, width: int = 100_000) -> DataFrame:
     """For each left row, the newest right value of its key of at most ``at``; rows without one are left out."""
-    names = left.columns
-    asks = left.select("*", F.col(at).alias("__at"), F.lit(1).alias("__ask"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
-    facts = right.select(*[F.lit(None).cast(left.schema[c].dataType).alias(c) if c != key else F.col(key) for c in names], F.col(epoch).alias("__at"), F.lit(0).alias("__ask"), F.col(value).alias("__v"))
-    w = Window.partitionBy(key).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
-    found = asks.unionByName(facts).withColumn(name, F.max_by("__v", F.when(F.col("__ask") == 0, F.col("__at"))).over(w))
-    return found.where((F.col("__ask") == 1) & F.col(name).isNotNull()).select(*names, name)
+    facts = right.select(key, F.col(epoch).alias(at), F.col(value).alias("__value"))
+    return last_before(left, facts, [key], at, "__value", name, strict=False, width=width).where(F.col(name).isNotNull())
 
 
 def epoch_gaps(commits: DataFrame, width: int = 100_000) -> DataFrame:
@@ -69,3 +72,48 @@ def open_loop(jobs: DataFrame, group: str, arrive: str, service: str) -> DataFra
     done = jobs.withColumn("__c", F.sum(service).over(upto))
     start = F.max(F.col(arrive) - (F.col("__c") - F.col(service))).over(upto)
     return done.withColumn("latency", start + F.col("__c") - F.col(arrive)).drop("__c")
+
+
+def placements(gaps: DataFrame, doubtful: DataFrame, width: int = 100_000) -> DataFrame:
+    """epoch and candidates: which transactions of unknown outcome (tx_id, snapshot_epoch, upto) may be the commit
+    that an epoch lacks: it began before and ended after it. One candidate settles an epoch; several leave a search,
+    which is one of few rows."""
+    from .ordering import interval_join
+
+    spans = doubtful.select("tx_id", (F.col("snapshot_epoch") + 1).alias("first"), F.col("upto").alias("last"))
+    return interval_join(gaps.select("epoch"), spans, "epoch", "first", "last", width).groupBy("epoch").agg(F.array_sort(F.collect_list("tx_id")).alias("candidates"))
+
+
+def settled(candidates: DataFrame, tries: int = 5000) -> DataFrame:
+    """epoch and tx_id: a choice of one candidate an epoch, none twice, epochs that share candidates searched
+    together by going back, at most ``tries`` steps a group of epochs; epochs without a choice have a null."""
+    import pandas as pd
+
+    from .graph import connected_components
+
+    each = candidates.select("epoch", F.explode("candidates").alias("tx_id"))
+    # Epochs hang together by the candidates that they share; a candidate's least epoch stands for it.
+    edges = each.join(each.groupBy("tx_id").agg(F.min("epoch").alias("least")), "tx_id").where("least <> epoch").select(F.col("least").alias("a"), F.col("epoch").alias("b"))
+    parts = candidates.join(connected_components(edges), F.col("epoch") == F.col("node"), "left").select("epoch", "candidates", F.coalesce("component", "epoch").alias("part"))
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("epoch")
+        options = [list(c) for c in group["candidates"]]
+        chosen: list[int] = []
+        at, left = [0] * len(options), tries
+        while len(chosen) < len(options) and left:
+            left -= 1
+            i = len(chosen)
+            following = [j for j in range(at[i], len(options[i])) if options[i][j] not in chosen]
+            if following:
+                chosen.append(options[i][following[0]])
+                at[i] = following[0] + 1
+            elif i == 0:
+                break
+            else:
+                at[i] = 0
+                chosen.pop()
+        whole = len(chosen) == len(options)
+        return pd.DataFrame({"epoch": group["epoch"], "tx_id": pd.array(chosen if whole else [None] * len(options), dtype="Int64")})
+
+    return parts.groupBy("part").applyInPandas(search, "epoch long, tx_id long")

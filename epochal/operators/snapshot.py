@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import last_before
+
 
 def newest(versions: DataFrame, key: list[str], at: int | None = None, epoch: str = "commit_epoch") -> DataFrame:
     """Each key's newest version of at most epoch ``at``. The pick is an aggregate, so it is combined before the
@@ -61,3 +63,36 @@ def compact(base: DataFrame, versions: DataFrame, key: list[str], base_epoch: in
     new = changed_between(versions, key, base_epoch, upto, epoch)
     kept = base.join(new.select(*key), key, "left_anti")
     return kept.unionByName(new.where(~deleted), allowMissingColumns=True)
+
+
+def read_pages(reads: DataFrame, base: DataFrame, versions: DataFrame, key: str, value: str, at: str = "snapshot_epoch", epoch: str = "commit_epoch", width: int = 100_000) -> DataFrame:
+    """Each read (its key and the epoch that it sees) with the value and the epoch of the newest version that is no
+    newer, else the base's at epoch 0; null if neither has the key. ``validate.read_set`` records what was read."""
+    facts = versions.select(key, F.col(epoch).alias(at), F.struct(F.col(epoch).alias("epoch"), F.col(value).alias("value")).alias("__v"))
+    found = last_before(reads, facts, [key], at, "__v", "__found", strict=False, width=width)
+    below = base.select(key, F.col(value).alias("__base"), F.lit(True).alias("__in_base"))
+    joined = found.join(below, key, "left")
+    epoch_read = F.coalesce(F.col("__found.epoch"), F.when(F.col("__in_base"), F.lit(0).cast("long")))
+    return joined.withColumns({"read_epoch": epoch_read, value: F.when(F.col("__found").isNotNull(), F.col("__found.value")).otherwise(F.col("__base"))}).drop("__found", "__base", "__in_base")
+
+
+def installed(chains: DataFrame, commits: DataFrame, key: str, epoch: str = "commit_epoch") -> DataFrame:
+    """The versions after commits were installed: what a chain has already isn't installed again, so a
+    repeated installation changes nothing."""
+    return chains.unionByName(missing(chains, commits, key, epoch))
+
+
+def missing(chains: DataFrame, commits: DataFrame, key: str, epoch: str = "commit_epoch") -> DataFrame:
+    """The versions of commits that their keys' chains don't have."""
+    return commits.join(chains.select(key, epoch).distinct(), [key, epoch], "left_anti")
+
+
+def copied(versions: DataFrame, key: list[str], at: int, deleted: Column, path: str, epoch: str = "commit_epoch") -> DataFrame:
+    """Writes what an epoch sees as a table of its own and reads it: a copy that later commits don't touch."""
+    snapshot(versions, key, at, deleted, epoch).write.mode("overwrite").parquet(path)
+    return versions.sparkSession.read.parquet(path)
+
+
+def generated(spark, first: int, last: int, **columns: Column) -> DataFrame:
+    """Rows i from ``first`` to ``last`` with columns by formula: what a recursive query would count up."""
+    return spark.range(first, last + 1).withColumnRenamed("id", "i").withColumns(columns)

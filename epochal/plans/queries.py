@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packing, statements
-from ..operators import audit, diff, ordering, rebase, recovery, schema, snapshot, stats, structure, validate
+from ..operators import audit, diff, ordering, rebase, recovery, schema, snapshot, stats, structure, validate, workloads
+from ..sources import reports
 from . import history
 from .history import SQL as H
 from .history import derived, read
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 def writers(spark, d) -> DataFrame:
     return derived(spark, d).where("kind <> 'view'")
@@ -142,10 +128,10 @@ def s13_write_set(spark, d):
     return validate.write_set(frames)
 
 
-@query("SELECT DISTINCT l_orderkey AS tx_id, l_suppkey % 40 AS page FROM lineitem WHERE l_suppkey % 40 <> 1")
+@query("SELECT l_orderkey AS tx_id, count(DISTINCT l_suppkey % 40) AS pages, count(DISTINCT l_suppkey % 40) > 5 AS overflow FROM lineitem WHERE l_suppkey % 40 <> 1 GROUP BY 1")
 def s14_read_set(spark, d):
     r = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("tx_id"), (F.col("l_suppkey") % 40).alias("page"))
-    return r.where("page <> 1").dropDuplicates()
+    return validate.read_set(r, 5)[1]
 
 
 @query(f"WITH {H}, o AS (SELECT writer_id, page, max(commit_epoch) AS own FROM h WHERE kind = 'click' GROUP BY ALL) SELECT tx_id, coalesce(own, snapshot_epoch) AS basis FROM t LEFT JOIN o USING (writer_id, page) WHERE kind = 'purchase'")
@@ -161,10 +147,13 @@ def v13_poisoned(spark, d):
     return validate.poisoned(t, F.col("kind") == "error").select("tx_id", "poisoned")
 
 
-@query(f"WITH {H} SELECT tx_id, CASE WHEN kind = 'view' THEN 'COMMITTED' WHEN tx_id % 11 = 0 THEN 'ABORTED' ELSE 'COMMITTED' END AS state, (snapshot_epoch < 4000)::BOOLEAN AS stale FROM t")
+@query(f"WITH {H}, m AS (SELECT max(commit_epoch) AS newest FROM h) SELECT tx_id, CASE WHEN kind <> 'view' AND tx_id % 11 <> 0 THEN 'COMMITTED' WHEN commit_epoch > newest - 50 THEN 'ACTIVE' WHEN kind <> 'view' THEN 'ABORTED' ELSE 'COMMITTED' END AS state FROM h, m")
 def v2_transaction_states(spark, d):
-    state = F.when(F.col("kind") == "view", "COMMITTED").when(F.col("tx_id") % 11 == 0, "ABORTED").otherwise("COMMITTED")
-    return derived(spark, d).select("tx_id", state.alias("state"), (F.col("snapshot_epoch") < 4000).alias("stale"))
+    t = derived(spark, d)
+    newest = t.agg(F.max("commit_epoch").alias("newest"))
+    is_writer = F.col("kind") != "view"
+    rows = t.crossJoin(F.broadcast(newest)).select("tx_id", is_writer.alias("is_writer"), F.when(is_writer & (F.col("tx_id") % 11 != 0), F.col("commit_epoch")).otherwise(0).alias("commit_epoch"), (F.col("commit_epoch") <= F.col("newest") - 50).alias("ended"))
+    return validate.ended(rows).select("tx_id", "state")
 
 
 @query(f"WITH {H}, a AS (SELECT * FROM h WHERE kind <> 'view' AND tx_id % 11 <> 0) SELECT tx_id, row_number() OVER (ORDER BY commit_epoch) + 1 AS epoch FROM a")
@@ -177,7 +166,7 @@ def v8_epoch_assignment(spark, d):
 def v10_install_missing(spark, d):
     w = writers(spark, d).where("commit_epoch <= 4000").select("page", "commit_epoch", "tx_id")
     have = w.where("tx_id % 5 <> 0").select("page", "commit_epoch")
-    return w.select("page", "commit_epoch").join(have, ["page", "commit_epoch"], "left_anti")
+    return snapshot.missing(have, w.select("page", "commit_epoch"), "page")
 
 
 # --- differences and merging
@@ -217,9 +206,9 @@ def b3_apply_diff(spark, d):
     return diff.apply_diff(old, diff.row_diff(old, new, ["o_orderkey"]), ["o_orderkey"])
 
 
-@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity = l_linenumber AS by_value, FALSE AS by_type FROM lineitem WHERE l_linenumber < 3")
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity = l_linenumber AS by_value, FALSE AS by_type FROM lineitem")
 def p4_typed_equality(spark, d):
-    r = read(spark, d, "lineitem").where("l_linenumber < 3")
+    r = read(spark, d, "lineitem")
     a, b = diff.tagged(F.col("l_quantity"), "real"), diff.tagged(F.col("l_linenumber"), "int")
     return r.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), diff.identical(a, b, True).alias("by_value"), diff.identical(a, b, False).alias("by_type"))
 
@@ -295,19 +284,24 @@ def b12_changed_columns(spark, d):
     return read(spark, d, "orders").select("o_orderkey", rebase.merged_row(m, 0, F.lit("N"), F.col("o_orderstatus")).alias("a"), rebase.merged_row(m, 1, F.lit("M"), F.col("o_orderpriority")).alias("b"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {H}, q AS MATERIALIZED (SELECT tx_id, k, commit_epoch, snapshot_epoch, row_number() OVER (PARTITION BY k ORDER BY commit_epoch) AS n FROM t WHERE kind IN ('click', 'purchase')),
+  f AS (SELECT tx_id, k, n, commit_epoch AS head, TRUE AS ok FROM q WHERE n = 1
+    UNION ALL SELECT q.tx_id, q.k, q.n, CASE WHEN f.head <= q.snapshot_epoch THEN q.commit_epoch ELSE f.head END, f.head <= q.snapshot_epoch FROM f JOIN q ON q.k = f.k AND q.n = f.n + 1)
+  SELECT tx_id, CASE WHEN ok THEN 'merged' ELSE 'refused' END AS verdict, CASE WHEN ok THEN head ELSE -1 END AS commit_order FROM f""")
 def b9_group_replay(spark, d):
     t = derived(spark, d).where("kind in ('click', 'purchase')")
-    requests = t.select("tx_id", F.col("commit_epoch").alias("arrival"), "snapshot_epoch", F.array("k").alias("keys"), F.col("page").alias("component"))
-    return rebase.admit(requests)
+    # A snapshot of each request's own: the further back, the more it can clash with.
+    return rebase.admit(t.select("tx_id", F.col("commit_epoch").alias("arrival"), "snapshot_epoch", F.array("k").alias("keys")))
 
 
 # --- log, recovery
 
 
-def log_of(spark, d) -> DataFrame:
+def log_of(spark, d, torn: bool = True) -> DataFrame:
+    """A log of sealed records, some of whose checksums are wrong."""
     t = derived(spark, d)
-    return t.select(F.col("commit_epoch").alias("epoch"), "tx_id", (F.col("cents") % 50 + 1).alias("n_pages"), (F.col("tx_id") % 997 != 500).alias("complete"))
+    log = recovery.sealed(t.select(F.col("commit_epoch").alias("epoch"), "tx_id", (F.col("cents") % 50 + 1).alias("n_pages")))
+    return log.withColumn("checksum", F.col("checksum") + F.when(F.col("tx_id") % 997 == 500, 1).otherwise(0)) if torn else log
 
 
 @query(f"WITH {H}, l AS (SELECT commit_epoch, min((tx_id % 997 <> 500)::INT) OVER (ORDER BY commit_epoch) AS ok FROM h) SELECT coalesce(max(commit_epoch), 1) AS recovered_epoch FROM l WHERE ok = 1")
@@ -327,18 +321,43 @@ def l3_recovered_records(spark, d):
 
 @query(f"WITH {H} SELECT commit_epoch AS epoch, 40 + (cents % 50 + 1) * 4100 AS bytes FROM h WHERE commit_epoch > 6000")
 def l5_log_tail(spark, d):
-    return log_of(spark, d).where("epoch > 6000").select("epoch", packing.record_size(F.col("n_pages"), 4096, F.lit(0)).alias("bytes"))
+    return recovery.tail(log_of(spark, d), 6000).select("epoch", packing.record_size(F.col("n_pages"), 4096, F.lit(0)).alias("bytes"))
+
+
+#: Where segments begin, by the rule itself: the first record that doesn't fit behind those since the last beginning.
+SEGMENTS = """b AS MATERIALIZED (SELECT epoch, bytes, row_number() OVER (ORDER BY epoch) AS n, (sum(bytes) OVER (ORDER BY epoch))::BIGINT AS upto FROM (SELECT commit_epoch AS epoch, 40 + (cents % 50 + 1) * 4100 AS bytes FROM h)),
+  s AS (SELECT 0::BIGINT AS segment, 1::BIGINT AS first, 0::BIGINT AS before UNION ALL SELECT s.segment + 1, min(b.n), min(b.upto - b.bytes) FROM s JOIN b ON b.n > s.first AND b.upto > s.before + {limit} GROUP BY s.segment)"""
 
 
-@query(f"WITH {H}, b AS (SELECT commit_epoch AS epoch, 40 + (cents % 50 + 1) * 4100 AS bytes FROM h) SELECT epoch, coalesce(sum(bytes) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 4194304 AS segment FROM b")
+def sized(spark, d) -> DataFrame:
+    return log_of(spark, d).withColumn("bytes", packing.record_size(F.col("n_pages"), 4096, F.lit(0)))
+
+
+@query(f"WITH RECURSIVE {H}, {SEGMENTS.format(limit=4_194_304)} SELECT b.epoch, s.segment FROM b ASOF JOIN s ON b.n >= s.first")
 def l6_segments(spark, d):
-    return recovery.segments(log_of(spark, d).withColumn("bytes", packing.record_size(F.col("n_pages"), 4096, F.lit(0))), 4_194_304).select("epoch", "segment")
+    return recovery.segments(sized(spark, d), 4_194_304).select("epoch", "segment")
+
+
+@query(f"WITH RECURSIVE {H}, {SEGMENTS.format(limit=150_000)} SELECT b.epoch, s.segment FROM b ASOF JOIN s ON b.n >= s.first")
+def s10_segments_of_large_records(spark, d):
+    return recovery.segments(sized(spark, d), 150_000, width=700).select("epoch", "segment")
+
+
+@query(f"WITH RECURSIVE {H}, {SEGMENTS.format(limit=4_194_304)}, f AS (SELECT s.segment, b.epoch AS first, lead(b.epoch) OVER (ORDER BY s.segment) AS next FROM s JOIN b ON b.n = s.first) SELECT segment FROM f WHERE next <= 501")
+def l6_droppable_segments(spark, d):
+    return recovery.droppable(recovery.segments(sized(spark, d), 4_194_304), 500)
+
+
+@query(f"WITH RECURSIVE {H}, {SEGMENTS.format(limit=4_194_304)}, g AS (SELECT b.epoch, b.bytes, s.segment FROM b ASOF JOIN s ON b.n >= s.first) SELECT max(epoch) AS epoch, sum(bytes)::BIGINT AS bytes FROM g GROUP BY segment HAVING segment < (SELECT max(segment) FROM g)")
+def c4_compaction_points(spark, d):
+    return recovery.compaction_points(sized(spark, d), 4_194_304)
 
 
-@query(f"WITH {H} SELECT tx_id, CASE WHEN tx_id % 10 <> 0 THEN 'none' WHEN writer_id < 8 THEN 'finished' WHEN writer_id < 12 THEN 'undone' ELSE 'broken' END AS outcome FROM h")
+@query(f"WITH {H} SELECT tx_id, CASE WHEN tx_id % 10 <> 0 THEN 'none' WHEN commit_epoch % 6 = 0 THEN 'broken' WHEN tx_id % 997 = 500 OR cents % 50 = 0 THEN 'undone' ELSE 'finished' END AS outcome FROM h")
 def l7_pending_repair(spark, d):
-    t = derived(spark, d).withColumn("pending", F.col("tx_id") % 10 == 0).withColumn("record_state", F.when(F.col("writer_id") < 8, "complete").when(F.col("writer_id") < 12, "torn").otherwise("unreadable"))
-    return recovery.repaired(t).select("tx_id", "outcome")
+    log = log_of(spark, d).withColumn("n_pages", F.when(F.col("n_pages") == 1, 0).otherwise(F.col("n_pages"))).where("epoch % 6 <> 0")
+    pending = derived(spark, d).select("tx_id", F.col("commit_epoch").alias("epoch"), (F.col("tx_id") % 10 == 0).alias("pending"))
+    return recovery.repaired(recovery.record_states(pending, log)).select("tx_id", "outcome")
 
 
 @query(f"WITH {H} SELECT a.tx_id, min(b.commit_epoch) AS sync_id FROM h a LEFT JOIN h b ON b.tx_id % 40 = 7 AND b.commit_epoch * 10 > a.commit_epoch * 10 + a.cents % 100 GROUP BY a.tx_id")
@@ -351,7 +370,7 @@ def l8_group_commit(spark, d):
 
 @query("WITH p AS (SELECT o_orderkey AS p, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS isl FROM orders WHERE o_orderkey % 97 <> 0), q AS (SELECT p, isl, (row_number() OVER (PARTITION BY isl ORDER BY p) - 1) // 64 AS sub FROM p) SELECT min(p) AS first, count(*) AS n FROM q GROUP BY isl, sub")
 def w4_page_runs(spark, d):
-    return ordering.islands(read(spark, d, "orders").where("o_orderkey % 97 <> 0"), "o_orderkey", 64, width=5000)
+    return ordering.islands(read(spark, d, "orders").where("o_orderkey % 97 <> 0"), "o_orderkey", 64, width=70)
 
 
 # --- audit
@@ -451,15 +470,14 @@ def h8_row_ids(spark, d):
 # --- structure
 
 
-@query(f"WITH {H} SELECT tx_id, CASE WHEN k > 60 AND k <= 90 THEN k + 25 ELSE k END AS k FROM h")
+@query(f"WITH {H} SELECT tx_id, CASE WHEN k > 60 AND k <= 90 THEN k + 25 ELSE k END AS k, CASE WHEN rk > 60 AND rk <= 90 THEN rk + 25 ELSE rk END AS rk FROM h")
 def x1_renumbering(spark, d):
-    return derived(spark, d).select("tx_id", structure.renumbered(F.col("k"), F.lit(60), F.lit(90), F.lit(25)).alias("k"))
+    return structure.relocated(derived(spark, d).select("tx_id", "k", "rk"), 60, 90, 25, ["k", "rk"])
 
 
-@query("SELECT p_partkey AS page, count(l_partkey) AS n FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 20 = 0) l ON l_partkey = p_partkey GROUP BY 1 HAVING count(l_partkey) <> 1")
+@query("SELECT p_partkey AS page, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 HAVING count(l_partkey) <> 1")
 def x1a_referenced_once(spark, d):
-    refs = read(spark, d, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_partkey").alias("child"))
-    return structure.referenced_once(read(spark, d, "part").select(F.col("p_partkey").alias("page")), refs)
+    return structure.referenced_once(read(spark, d, "part").select(F.col("p_partkey").alias("page")), read(spark, d, "lineitem").select(F.col("l_partkey").alias("child")))
 
 
 def tree(spark, d) -> DataFrame:
@@ -542,7 +560,7 @@ def a15_stage_times(spark, d):
 
 @query("SELECT count(*) = count(DISTINCT o_orderkey) AS valid, count(*) AS n, max(o_orderkey) - min(o_orderkey) + 1 - count(*) AS gaps FROM orders")
 def a9_invariants(spark, d):
-    return read(spark, d, "orders").agg((F.count("*") == F.countDistinct("o_orderkey")).alias("valid"), F.count("*").alias("n"), (F.max("o_orderkey") - F.min("o_orderkey") + 1 - F.count("*")).alias("gaps"))
+    return stats.key_invariants(read(spark, d, "orders"), "o_orderkey")
 
 
 @query(f"WITH {H}{VERDICT} SELECT count(*) AS transactions, count(*) FILTER (kind = 'view') AS read_only, count(*) FILTER (kind <> 'view' AND r) AS aborts_read, count(*) FILTER (kind <> 'view' AND NOT r AND w) AS aborts_row, count(*) FILTER (kind <> 'view' AND NOT r AND NOT w AND p) AS rebases FROM v")
@@ -561,17 +579,30 @@ def api5_event_counts(spark, d):
 STATEMENTS = ["SELECT 1", " -- note\n(VALUES (1))", "/* x */ WITH a AS (SELECT 1) SELECT * FROM a", "INSERT INTO t VALUES (1)", "INSERT INTO t VALUES (1), (2)", "UPDATE t SET a = 1 WHERE id = 5", "UPDATE t SET a = 1 WHERE b = 5", "DELETE FROM t WHERE id = 7;", "INSERT OR REPLACE INTO t VALUES (1)", "INSERT INTO t VALUES (1) ON CONFLICT DO NOTHING", "CREATE TABLE x (a)", "CREATE TEMP TABLE x (a)", "UPDATE t SET a = (SELECT max(a) FROM t) WHERE id = 5", "VACUUM"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {r}, {p}, {x})" for i, (r, p, x) in enumerate([(True, False, False), (True, False, False), (True, False, False), (False, True, False), (False, False, False), (False, True, False), (False, False, False), (False, True, False), (False, False, False), (False, False, False), (False, False, True), (False, False, False), (False, False, False), (False, False, True)])) + ") AS v(id, is_read, is_point, is_ddl)")
+#: What each statement is: a read, of one row, a change of the schema, a change of rows.
+KINDS = ["R", "R", "R", "PD", "D", "PD", "D", "PD", "D", "D", "S", "", "D", "S"]
+
+
+def picked(values: list, by: str) -> str:
+    return f"[{', '.join(map(repr, values))}][{by} % {len(values)} + 1]"
+
+
+@query("SELECT o_orderkey AS id, " + ", ".join(f"contains({picked(KINDS, 'o_orderkey')}, '{c}') AS {n}" for c, n in zip("RPSD", ("is_read", "is_point", "is_ddl", "is_dml"), strict=True)) + " FROM orders")
 def p8_statement_kinds(spark, d):
-    s = spark.createDataFrame(list(enumerate(STATEMENTS)), "id long, sql string")
+    # Each order's statement, behind as many blanks as the order's customer has a number.
+    texts = F.array(*[F.lit(x) for x in STATEMENTS])
+    s = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.repeat(F.lit(" "), F.col("o_custkey").cast("int")), F.get(texts, (F.col("o_orderkey") % len(STATEMENTS)).cast("int"))).alias("sql"))
     q = F.col("sql")
-    return s.select("id", statements.is_read(q).alias("is_read"), statements.is_point(q, F.lit("id")).alias("is_point"), statements.is_ddl(q).alias("is_ddl"))
+    return s.select("id", statements.is_read(q).alias("is_read"), statements.is_point(q, F.lit("id")).alias("is_point"), statements.is_ddl(q).alias("is_ddl"), statements.is_dml(q).alias("is_dml"))
+
 
+LEVELS = {"off": 0, "FULL": 2, "extra": 3, "0x2": 2, "1": 1, "7": 0, "what": 1}
 
-@query("SELECT * FROM (VALUES ('off', 0), ('FULL', 2), ('extra', 3), ('0x2', 2), ('1', 1), ('7', 0), ('what', 1)) AS v(value, level)")
+
+@query(f"SELECT o_orderkey, {picked(list(LEVELS.values()), 'o_orderkey')} AS level FROM orders")
 def f7_sync_level(spark, d):
-    s = spark.createDataFrame([(v,) for v in ("off", "FULL", "extra", "0x2", "1", "7", "what")], "value string")
-    return s.select("value", statements.sync_level(F.col("value")).alias("level"))
+    values = F.array(*[F.lit(v) for v in LEVELS])
+    return read(spark, d, "orders").select("o_orderkey", statements.sync_level(F.get(values, (F.col("o_orderkey") % len(LEVELS)).cast("int"))).alias("level"))
 
 
 @query("SELECT o_orderkey, (o_custkey << 32) | o_orderkey AS loc, o_custkey AS segment, o_orderkey AS place FROM orders")
@@ -642,8 +673,7 @@ def o5_top_k(spark, d):
 
 @query(f"WITH {H}, r AS (SELECT *, row_number() OVER (PARTITION BY writer_id ORDER BY commit_epoch) AS r FROM h WHERE kind = 'error') SELECT writer_id, tx_id FROM r WHERE r <= 4")
 def o3_first_violations(spark, d):
-    w = Window.partitionBy("writer_id").orderBy("commit_epoch")
-    return derived(spark, d).where("kind = 'error'").withColumn("r", F.row_number().over(w)).where("r <= 4").select("writer_id", "tx_id")
+    return validate.first_violations(derived(spark, d).where("kind = 'error'"), "writer_id", "commit_epoch", 4).select("writer_id", "tx_id")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -657,31 +687,26 @@ def st1_tumbling_windows(spark, d):
 
 @query(f"WITH {H} SELECT DISTINCT tx_id, unnest([page, rpage]) AS page FROM t")
 def u2_used_pages(spark, d):
-    t = derived(spark, d)
-    return t.select("tx_id", "page").unionByName(t.select("tx_id", F.col("rpage").alias("page"))).distinct()
+    return validate.used_pages(derived(spark, d))
 
 
 @query(f"WITH {H}, o AS (SELECT writer_id, page, commit_epoch FROM h WHERE kind = 'click' UNION ALL SELECT writer_id, page, commit_epoch FROM h WHERE kind = 'purchase') SELECT writer_id, page, max(commit_epoch) AS own_epoch FROM o GROUP BY ALL")
 def o2_merged_own_commits(spark, d):
-    t = derived(spark, d).select("writer_id", "page", "commit_epoch", "kind")
-    both = t.where("kind = 'click'").unionByName(t.where("kind = 'purchase'"))
-    return both.groupBy("writer_id", "page").agg(F.max("commit_epoch").alias("own_epoch"))
+    t = derived(spark, d)
+    return validate.own_commits(t.where("kind = 'click'"), t.where("kind = 'purchase'"))
 
 
 @query(f"WITH {H} SELECT commit_epoch // 64 AS batch, max(tx_id % 4) AS sync_level, count(*) AS requests FROM h WHERE kind <> 'view' GROUP BY 1")
 def b13_batch_durability(spark, d):
-    return writers(spark, d).groupBy(F.expr("commit_epoch div 64").alias("batch")).agg(F.max(F.col("tx_id") % 4).alias("sync_level"), F.count("*").alias("requests"))
+    return recovery.batch_durability(writers(spark, d).select(F.expr("commit_epoch div 64").alias("batch"), (F.col("tx_id") % 4).alias("sync_level")), "batch")
 
 
 @query(f"WITH {H} SELECT writer_id, count(*) FILTER (kind = 'view') AS reads, count(*) FILTER (kind NOT IN ('view', 'error')) AS writes, count(*) FILTER (kind = 'error') AS busy, round(100.0::DOUBLE * count(*) FILTER (kind = 'error') / count(*), 6) AS busy_percent FROM h GROUP BY 1")
 def a7_failed_attempts(spark, d):
-    n = lambda c: F.sum(c.cast("long"))
-    k = F.col("kind")
-    busy = n(k == "error")
-    return derived(spark, d).groupBy("writer_id").agg(n(k == "view").alias("reads"), n(~k.isin("view", "error")).alias("writes"), busy.alias("busy"), F.round(100.0 * busy / F.count("*"), 6).alias("busy_percent"))
+    return stats.attempts(derived(spark, d), ["writer_id"])
 
 
-@query()
+@query("WITH r AS (SELECT ('0x' || substr(md5(o_orderkey::VARCHAR || '|' || o_custkey::VARCHAR || '|' || o_orderstatus), 1, 15))::BIGINT AS v FROM orders) SELECT bit_xor(v) AS x, sum(v)::VARCHAR AS s, count(*) AS n FROM r")
 def a16_content_hash(spark, d):
     return stats.content_hash(read(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
@@ -689,7 +714,7 @@ def a16_content_hash(spark, d):
 @query("SELECT o_custkey AS n, o_orderpriority AS variant, max(o_orderkey) AS line, max_by(o_totalprice, o_orderkey) AS tx_s FROM orders GROUP BY ALL")
 def s17_last_line_of_each_key(spark, d):
     rows = read(spark, d, "orders").select(F.col("o_custkey").alias("n"), F.col("o_orderpriority").alias("variant"), F.col("o_orderkey").alias("line"), F.col("o_totalprice").alias("tx_s"))
-    return rows.groupBy("n", "variant").agg(F.max("line").alias("line"), F.max_by("tx_s", "line").alias("tx_s"))
+    return reports.last_of_each(rows, ["n", "variant"], "line")
 
 
 @query("SELECT code, CASE WHEN code & 255 = 0 THEN 'ok' WHEN code & 255 IN (5, 6) THEN 'retry' WHEN code & 255 = 13 THEN 'full' ELSE 'error' END AS class FROM (SELECT DISTINCT o_orderkey % 1024 AS code FROM orders)")
@@ -700,25 +725,39 @@ def f13_result_classes(spark, d):
 
 @query("SELECT l_returnflag AS file, count(*) FILTER (l_linestatus = 'O') AS same, count(*) FILTER (l_linestatus <> 'O') AS differ, count(*) AS n FROM lineitem GROUP BY 1")
 def q10_suite_comparison(spark, d):
-    l = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("file")).pivot("l_linestatus", ["O", "F"]).agg(F.count("l_orderkey"))
-    return l.select("file", F.coalesce("O", F.lit(0)).alias("same"), F.coalesce("F", F.lit(0)).alias("differ"), (F.coalesce("O", F.lit(0)) + F.coalesce("F", F.lit(0))).alias("n"))
+    return stats.agreement(read(spark, d, "lineitem").select(F.col("l_returnflag").alias("file"), "l_linestatus"), "file", F.col("l_linestatus") == "O")
 
 
-@query("SELECT worker, 100 AS inserts, TRUE AS valid FROM (SELECT unnest(range(16)) AS worker)")
+@query(f"WITH {H}, s AS (SELECT k FROM h GROUP BY k HAVING count(DISTINCT writer_id) > 1) SELECT writer_id AS worker, count(*) AS inserts, count(*) = count(DISTINCT k) AND NOT bool_or(k IN (SELECT k FROM s)) AS valid FROM h GROUP BY 1")
 def q8_independent_inserts(spark, d):
-    from ..operators.workloads import independent, invariant
-
-    return invariant(independent(spark, 16, 100), 100)
+    return workloads.invariant(derived(spark, d).select(F.col("writer_id").alias("worker"), F.col("k").alias("key")))
 
 
-@query("SELECT 16 * 100 AS committed, 16 * 100 AS total, TRUE AS valid")
+@query(f"WITH {H}, r AS (SELECT k % 4 AS key, count(*) AS n, sum(tx_id % 2)::BIGINT AS total FROM h GROUP BY 1) SELECT key, n AS committed, total, n = total AS valid FROM r")
 def q8_hot_counter(spark, d):
-    from ..operators.workloads import hot_rows, hot_total
+    return workloads.counted(derived(spark, d).select((F.col("k") % 4).alias("key"), (F.col("tx_id") % 2).alias("delta")))
 
-    return hot_total(hot_rows(spark, 16, 100, 1))
+
+@query(f"WITH {H}, e AS (SELECT k AS account, -cents AS delta FROM h UNION ALL SELECT rk, cents FROM h WHERE tx_id % 100 <> 9), b AS (SELECT account, sum(delta) AS balance FROM e GROUP BY 1) SELECT count(*) AS accounts, sum(balance)::BIGINT AS total, sum(balance) = 0 AS valid FROM b")
+def q8_transfers(spark, d):
+    t = derived(spark, d)
+    return workloads.conserved(workloads.transfers(t, "k", "rk", "cents").where("side = 'from' or tx_id % 100 <> 9"))
+
+
+@query(f"WITH {H} SELECT writer_id AS worker, count(*) AS n, sum((kind = 'view')::INT)::BIGINT AS reads, round(100.0::DOUBLE * sum((kind = 'view')::INT) / count(*), 6) AS read_percent FROM h GROUP BY 1")
+def q8_mixed_reads(spark, d):
+    return workloads.read_share(derived(spark, d).select(F.col("writer_id").alias("worker"), "kind"))
 
 
-@query(f"WITH {H} SELECT DISTINCT 'c' || lpad(k::VARCHAR, 6, '0') AS name, CASE WHEN cents >= 100000 THEN format('{{:,}}', cents) ELSE cents::VARCHAR END AS shown FROM h WHERE tx_id < 500")
+@query(f"WITH {H}, l AS (SELECT writer_id % 4 AS col, writer_id // 4 AS row, max_by(cents, commit_epoch) AS last FROM h WHERE kind = 'purchase' GROUP BY 1, 2) SELECT row, max(last) FILTER (col = 0) AS a, max(last) FILTER (col = 1) AS b, max(last) FILTER (col = 2) AS c, max(last) FILTER (col = 3) AS d FROM l GROUP BY 1")
+def q8_own_columns(spark, d):
+    t = derived(spark, d).where("kind = 'purchase'")
+    return workloads.own_columns(t.select(F.expr("writer_id div 4").alias("row"), (F.col("writer_id") % 4).alias("col"), F.col("commit_epoch").alias("seq"), F.col("cents").alias("value")), ["a", "b", "c", "d"])
+
+
+@query(f"WITH {H} SELECT DISTINCT 'c' || lpad(k::VARCHAR, 6, '0') AS name, CASE WHEN cents >= 10000 THEN format('{{:,}}', cents) ELSE cents::VARCHAR END AS shown FROM h")
 def f15_number_format(spark, d):
-    t = derived(spark, d).where("tx_id < 500")
-    return t.select(F.concat(F.lit("c"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("name"), F.when(F.col("cents") >= 100_000, F.format_number("cents", 0)).otherwise(F.col("cents").cast("string")).alias("shown")).distinct()
+    return derived(spark, d).select(F.concat(F.lit("c"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("name"), stats.shown(F.col("cents"), 10_000).alias("shown")).distinct()
+
+
+from . import merging, tables  # noqa: E402, F401  registers their queries

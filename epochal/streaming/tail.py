@@ -39,3 +39,21 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: s
 def on_batches(stream: DataFrame, apply, checkpoint: str):
     """Calls apply(batch, id) for each batch: how an applied log is merged into a base, once a batch."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def validated(commits: DataFrame, granule: str = "granule") -> DataFrame:
+    """tx_id, granule, conflict of each commit of a stream (tx_id, granule, snapshot_epoch, commit_epoch): whether
+    another commit on the granule lies after its snapshot and before it. The state of a granule is the newest epoch
+    seen. Commits of a granule that come with a batch are taken in the order of their epochs; a batch brings what a
+    log's order puts after the batches before."""
+    import pandas as pd
+
+    def apply(key, batches, state):
+        (head,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(batches)).sort_values("commit_epoch")
+        # The newest epoch before each row: the state, then the rows before it in the batch.
+        before = rows["commit_epoch"].cummax().shift(1, fill_value=head).clip(lower=head)
+        state.update((max(head, int(rows["commit_epoch"].max())),))
+        yield pd.DataFrame({"tx_id": rows["tx_id"], "granule": key[0], "conflict": before > rows["snapshot_epoch"]})
+
+    return commits.groupBy(granule).applyInPandasWithState(apply, "tx_id long, granule long, conflict boolean", "head long", "append", "NoTimeout")

@@ -75,7 +75,8 @@ def test_recovery(spark, epochs, torn, base, want):
 def test_log_on_disk(spark, tmp_path):
     path = f"file://{tmp_path}/db"
     records = spark.createDataFrame([(e, 1, True, e // 3) for e in range(2, 9)], "epoch long, n_pages long, complete boolean, segment int")
-    commit_log.append(records, path)
+    assert commit_log.append(records, path, "one")
+    assert not commit_log.append(records, path, "one")
     commit_log.write_manifest(spark, path, 1)
     assert commit_log.read(spark, path).count() == 7
     versions = spark.createDataFrame([(1, 3, "a", False), (1, 5, "b", False), (2, 6, "c", True)], "k long, commit_epoch long, v string, gone boolean")

@@ -8,7 +8,7 @@ import pytest
 from epochal.plans import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = "region nation customer supplier part orders lineitem events".split()
+NAMES = "region nation customer supplier part orders lineitem events documents".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't there")
 
 
