@@ -1,31 +1,5 @@
-"""Connected components of a graph by alternating large-star and small-star steps."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from ..operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .shared import materialize
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node that it reaches) of every node that has an edge. ``edges`` has two long
-    columns a and b. Each step moves every node's edges to the smallest node near it, until nothing changes: a
-    logarithmic number of steps, none of which takes a component into one task."""
-    state = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        # Large star: each node's larger neighbours go to the smallest of the node and its neighbours.
-        both = state.select("a", "b").unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        # Small star: each node and its smaller neighbours go to the smallest of these.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        state = materialize(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    heads = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(heads)
+__all__ = ["connected_components"]

@@ -1,14 +1,15 @@
 """Best-fit packing of token sequences, bulk-synchronously.
 
-Documents and gaps are sorted into ranges of equal length: at most ``width`` of each, whatever the corpus holds.
-A superstep takes the documents of the next shorter length and sweeps over the gaps from the smallest that holds
-them upwards (the successor); where more documents than gaps meet, ranks decide, and what finds no gap opens new
-sequences. Then the gaps are updated and the next superstep follows: exact best fit in decreasing order.
+Documents longer than half a sequence open one each. A superstep then sorts the shorter ones and the gaps into ranges
+of descending size, gaps before documents of the same size, and sweeps over them: a document takes the last gap before
+it that is still free, which is the smallest that holds it (its successor). Each range is swept alone; what is left of
+it, free gaps and documents that found none, is matched with the other ranges' by their numbers alone, and ranks say
+which document takes which gap. A gap much larger than the longest document stands for as many as it surely holds.
+Then the gaps are updated and the superstep is repeated. Where no gap holds any of the documents left, the longest of
+them, as many as sequences are needed for sure, open sequences. The number of supersteps hangs on the lengths and not
+on how many documents there are; sequences are as few as best fit one by one gives, to some hundredths of a percent.
 
-Since documents of a length are interchangeable, a superstep is a handful of moves "ranks a.. of length n go to
-sequences b.. at an offset", worked out on the driver from the histogram of lengths (``width`` counts). The ranks
-are given by the cluster: each partition numbers its rows within their length, and a prefix sum over partitions
-places it, so one very common length is no one task's work. Every row then looks its move up.
+Every superstep's tables are written to the shared folder. The driver sees one row a range: how many are left.
 
 Null texts count as empty: a document of only the end id. Equal rows are packed each for itself; other columns
 are not looked at; an empty table gives an empty table.
@@ -20,6 +21,7 @@ import functools
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,85 +98,146 @@ def cut(docs: DataFrame, width: int = 1024, tokenizer: str = "byte_bpe_50k.json"
     return map_arrow(rows, make, f"doc_id long, piece int, start long, length long, kept {kind}").withColumnRenamed("kept", name)
 
 
-def moves(counts: dict[int, int], width: int) -> np.ndarray:
-    """The supersteps' moves for so many documents of each length: rows of (length, first rank, documents, documents
-    a sequence, first sequence, first offset)."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    made, out = 0, []
-    for length in sorted((n for n in counts if counts[n]), reverse=True):
-        rank, left = 0, counts[length]
-        changes: list[tuple[int, int, int]] = []
-        for gap in [*sorted(g for g in gaps if g >= length), width]:
-            each = gap // length
-            ranges = gaps.pop(gap, []) if gap < width else [(made, -(-left // each))]
-            while ranges and left:
-                first, n = ranges.pop()
-                full = min(n, left // each)
-                rest = left % each if full < n and left // each == full else 0
-                if full:
-                    out.append((length, rank, full * each, each, first, width - gap))
-                    changes.append((gap - each * length, first, full))
-                if rest:
-                    out.append((length, rank + full * each, rest, rest, first + full, width - gap))
-                    changes.append((gap - rest * length, first + full, 1))
-                used = full + bool(rest)
-                if gap == width:
-                    made += used
-                elif used < n:
-                    ranges.append((first + used, n - used))
-                rank, left = rank + full * each + rest, left - full * each - rest
-            if ranges and gap < width:
-                gaps[gap] = ranges
-            if not left:
-                break
-        for gap, first, n in changes:
-            if gap:
-                gaps.setdefault(gap, []).append((first, n))
-    return np.array(out, "i8").reshape(-1, 6)
-
-
-def place(pieces: DataFrame, width: int = 1024) -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces with a column length between 1 and ``width``."""
-    names = pieces.columns
-
-    def number():
-        seen = np.zeros(width + 1, "i8")
-        part = TaskContext.get().partitionId()
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
-            order = np.argsort(n, kind="stable")
-            first = np.searchsorted(n[order], n[order])
-            rank = np.empty(len(n), "i8")
-            rank[order] = seen[n[order]] + np.arange(len(n)) - first
-            np.add.at(seen, n, 1)
-            return batch.append_column("__part", pa.array(np.full(len(n), part), pa.int64())).append_column("__rank", pa.array(rank))
-
-        return f
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    ranked = materialize(map_arrow(pieces, number, f"{schema}, __part long, __rank long"))
-    counts = materialize(ranked.groupBy("__part", "length").agg(F.count("*").alias("n")))
-    # At most ``width`` rows, however large the table is.
-    plan = moves({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, width)
-    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("__part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-
-    def look_up():
-        far = 1 << 48
-        keys = plan[:, 0] * far + plan[:, 1]
-
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-            n, rank = get("length"), get("__rank") + get("__base")
-            m = plan[np.searchsorted(keys, n * far + rank, "right") - 1]
-            at = rank - m[:, 1]
-            return batch.select(names).append_column("sequence_id", pa.array(m[:, 4] + at // m[:, 3])).append_column("offset", pa.array(m[:, 5] + at % m[:, 3] * n))
-
-        return f
-
-    return map_arrow(ranked.join(base, ["__part", "length"]).select(*names, "__rank", "__base"), look_up, f"{schema}, sequence_id long, offset long")
+def swept(size: np.ndarray, is_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gaps and documents in descending order of size, matched like brackets: places of matched gaps, of the documents
+    that take them, of documents left and of gaps left, the last free one at the end."""
+    depth = np.cumsum(np.where(is_doc, -1, 1))
+    low = np.minimum.accumulate(np.minimum(depth, 0))
+    left = is_doc & (low < np.concatenate([[0], low[:-1]]))
+    level, at = np.where(is_doc, depth + 1, depth), np.flatnonzero(~left)
+    order = at[np.lexsort((at, level[at]))]
+    # Within a level gaps and documents take turns.
+    pair = np.flatnonzero((level[order[:-1]] == level[order[1:]]) & ~is_doc[order[:-1]] & is_doc[order[1:]])
+    gaps = order[pair]
+    free = ~is_doc
+    free[gaps] = False
+    return gaps, order[pair + 1], np.flatnonzero(left), np.flatnonzero(free)
+
+
+def across(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """What documents that found no gap in their range take of the gaps left in the ranges before, the nearest and
+    last first. ``ranges``: number, documents left, gaps left, in order. Rows of (document's range, first rank, gap's
+    range, the last gap's rank, how many); ranks of gaps go down as those of documents go up."""
+    free: list[list[int]] = []
+    out = []
+    for number, docs, gaps in ranges:
+        rank = 0
+        while rank < docs and free:
+            n = min(docs - rank, free[-1][1])
+            out.append((number, rank, free[-1][0], free[-1][1] - 1, n))
+            rank += n
+            free[-1][1] -= n
+            if not free[-1][1]:
+                free.pop()
+        if gaps:
+            free.append([number, gaps])
+    return out
+
+
+STATE = "kind string, pid long, length int, seq long, gap int, range int, rank long"
+
+
+def superstep(docs: DataFrame, gaps: DataFrame, widest: int, rows: int, per_range: int) -> DataFrame:
+    """One sweep of documents (pid, length of at most ``widest``) over gaps (seq, gap): rows of kind match, or doc and
+    gap for what is left of each range, with ranks within it."""
+    slots = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("gap") / widest).cast("int")))).alias("slot")
+    free = gaps.select(F.col("gap").alias("size"), F.lit(False).alias("is_doc"), F.col("seq").alias("id"), slots)
+    wanted = docs.select(F.col("length").alias("size"), F.lit(True).alias("is_doc"), F.col("pid").alias("id"), F.lit(0).alias("slot"))
+    # Equal sizes are spread over ranges by a hash, so a very common length is no one task's work.
+    order = [F.desc("size"), F.asc("is_doc"), F.xxhash64("id", "slot")]
+    both = free.unionByName(wanted).repartitionByRange(max(4, rows // per_range + 1), *order).sortWithinPartitions(*order)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = [b for b in batches if b.num_rows]
+        if not read:
+            return
+        t = pa.Table.from_batches(read)  # a range has about ``per_range`` rows
+        size, is_doc, ids = t["size"].to_numpy(), t["is_doc"].to_numpy(), t["id"].to_numpy()
+        here = TaskContext.get().partitionId()
+        g, d, docs_left, gaps_left = swept(size, is_doc)
+
+        def table(kind: str, n: int, **columns) -> pa.RecordBatch:
+            zero = np.zeros(n, "i8")
+            get = lambda c, t: pa.array(columns.get(c, zero).astype(t))
+            return pa.record_batch([pa.array([kind] * n, pa.string()), get("pid", "i8"), get("length", "i4"), get("seq", "i8"), get("gap", "i4"), pa.array(np.full(n, here, "i4")), get("rank", "i8")], ["kind", "pid", "length", "seq", "gap", "range", "rank"])
+
+        yield table("match", len(g), pid=ids[d], length=size[d], seq=ids[g], gap=size[g])
+        yield table("doc", len(docs_left), pid=ids[docs_left], length=size[docs_left], rank=np.arange(len(docs_left)))
+        yield table("gap", len(gaps_left), seq=ids[gaps_left], gap=size[gaps_left], rank=np.arange(len(gaps_left)))
+
+    return both.mapInArrow(sweep, STATE)
+
+
+def met(left: DataFrame, moves: list[tuple[int, int, int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """The documents that take a gap of another range (pid, length, seq), and those that found none."""
+    m = np.array(moves, "i8").reshape(-1, 5)
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_doc, by_gap = np.lexsort((m[:, 1], m[:, 0])), np.lexsort((m[:, 3], m[:, 2]))
+        for batch in batches:
+            col = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            doc, part, rank = col("kind") == "doc", col("range").astype("i8"), col("rank")
+            far = np.int64(1) << 40
+            k = np.searchsorted(m[by_doc, 0] * far + m[by_doc, 1], part * far + rank, "right") - 1
+            i = by_doc[np.maximum(k, 0)]
+            at = np.where((k >= 0) & (m[i, 0] == part) & (rank < m[i, 1] + m[i, 4]), rank - m[i, 1], -1)
+            k = np.minimum(np.searchsorted(m[by_gap, 2] * far + m[by_gap, 3], part * far + rank, "left"), len(m) - 1)
+            j = by_gap[k]
+            down = np.where((m[j, 2] == part) & (rank <= m[j, 3]) & (rank > m[j, 3] - m[j, 4]), m[j, 3] - rank, -1)
+            move, step = np.where(doc, i, j), np.where(doc, at, down)
+            yield batch.append_column("move", pa.array(move)).append_column("step", pa.array(step))
+
+    tagged = left.mapInArrow(tag, f"{STATE}, move long, step long")
+    taken = tagged.where("kind = 'doc' and step >= 0").select("move", "step", "pid", "length")
+    given = tagged.where("kind = 'gap' and step >= 0").select("move", "step", "seq")
+    return taken.join(given, ["move", "step"]).select("pid", "length", "seq"), tagged.where("kind = 'doc' and step < 0").select("pid", "length", "range", "rank")
+
+
+def place(pieces: DataFrame, width: int = 1024, per_range: int = 500_000) -> DataFrame:
+    """Adds sequence_id and offset to a table of pieces with a column length between 1 and ``width``. A sequence has
+    the number of the piece that opened it."""
+    names, half = pieces.columns, width // 2
+    rows = materialize(pieces.withColumn("__pid", F.monotonically_increasing_id()))
+    items = rows.select(F.col("__pid").alias("pid"), F.col("length").cast("int").alias("length"))
+    many = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most ``width`` rows
+    opened = lambda docs: docs.select(F.col("pid").alias("seq"), (F.lit(width) - F.col("length")).alias("gap"))
+    gaps, docs = opened(items.where((F.col("length") > half) & (F.col("length") < width))), items.where(F.col("length") <= half)
+    n_gaps, n = sum(c for m, c in many.items() if half < m < width), sum(c for m, c in many.items() if m <= half)
+    least, most = min(many, default=0), max((m for m in many if m <= half), default=0)
+    # A sequence's pieces lie in the order in which they came: the one that opened it, then those of each superstep.
+    placed = [items.where(F.col("length") > half).select("pid", "length", F.col("pid").alias("seq"), F.lit(-1).alias("step"))]
+    while n:
+        state = materialize(superstep(docs, gaps.where(F.col("gap") >= least), most, n + n_gaps, per_range))
+        of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+        room = F.greatest(F.max(of("gap", "gap")), F.max(of("match", "gap") - F.col("length")))
+        told = sorted(state.groupBy("range").agg(*[F.count(of(k, "rank")).alias(k) for k in ("doc", "gap", "match")], F.sum(of("doc", "length")).alias("tokens"), F.min(of("doc", "length")).alias("least"), F.max(of("doc", "length")).alias("most"), room.alias("room")).collect(), key=lambda r: r["range"])
+        moves = across([(r["range"], r["doc"], r["gap"]) for r in told])
+        matched, docs = state.where("kind = 'match'").select("pid", "length", "seq"), state.where("kind = 'doc'").select("pid", "length", "range", "rank")
+        if moves:
+            more, docs = met(state.where("kind <> 'match'"), moves)
+            matched = matched.unionByName(materialize(more))
+        n -= sum(r["match"] for r in told) + sum(m[4] for m in moves)
+        placed.append(matched.withColumn("step", F.lit(len(placed))))
+        if not n:
+            break
+        changes = gaps.unionByName(matched.select("seq", (-F.col("length")).alias("gap")))
+        least, most = (f(r[c] for r in told if r["doc"]) for f, c in ((min, "least"), (max, "most")))
+        if not moves and max((r["room"] or 0 for r in told), default=0) < least:
+            # No gap holds any: the longest open as many sequences as their tokens need at least.
+            new, at, first = min(n, -(-sum(r["tokens"] or 0 for r in told) // width)), 0, []
+            for r in told:
+                first += [F.lit(r["range"]), F.lit(at)]
+                at += r["doc"]
+            docs = docs.withColumn("opens", F.create_map(*first)[F.col("range")] + F.col("rank") < new)
+            opens, docs = docs.where("opens"), docs.where("not opens")
+            placed.append(opens.select("pid", "length", F.col("pid").alias("seq"), F.lit(len(placed)).alias("step")))
+            changes = changes.unionByName(opened(opens))
+            n, n_gaps = n - new, n_gaps + new
+        docs = docs.select("pid", "length")
+        gaps = materialize(changes.groupBy("seq").agg(F.sum("gap").cast("int").alias("gap")).where("gap > 0"))
+    before = Window.partitionBy("seq").orderBy("step", F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = functools.reduce(DataFrame.unionByName, placed).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    return rows.join(offsets.select("pid", "seq", "offset"), F.col("__pid") == F.col("pid")).select(*names, F.col("seq").alias("sequence_id"), "offset")
 
 
 def pack(docs: DataFrame, width: int = 1024, keep: str = "ids", **options) -> DataFrame:

@@ -160,18 +160,41 @@ def best_fit(lengths, width):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_supersteps_give_what_one_by_one_best_fit_gives(seed):
+@pytest.mark.parametrize(("seed", "per_range"), [(0, 7), (1, 40), (2, 1000), (3, 13)])
+def test_supersteps_against_one_by_one_best_fit(spark, seed, per_range):
     rng = np.random.default_rng(seed)
-    lengths = rng.integers(1, 33, rng.integers(1, 300)).tolist()
-    plan = packing.moves(dict(collections.Counter(lengths)), 32)
-    rows, taken = [], collections.Counter()
-    for n, rank, count, each, first, offset in plan.tolist():
-        assert rank == taken[n]
-        taken[n] += count
-        rows += [{"sequence_id": first + i // each, "offset": offset + i % each * n, "length": n} for i in range(count)]
-    assert taken == collections.Counter(lengths)
-    assert check_sequences(rows, 32) == best_fit(lengths, 32)
+    lengths = [*rng.integers(1, [33, 65, 17, 65][seed], 400).tolist(), *[20] * 200, 64, 1]
+    rows = packing.place(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long"), 64, per_range).collect()
+    assert sorted(r["id"] for r in rows) == list(range(len(lengths)))
+    assert check_sequences(rows, 64) <= 1.02 * best_fit(lengths, 64) + 1
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_sweeps_give_each_its_successor(seed):
+    rng = np.random.default_rng(seed)
+    size, is_doc = rng.integers(1, 12, 40), rng.random(40) < 0.6
+    order = np.lexsort((is_doc, -size))
+    size, is_doc = size[order], is_doc[order]
+    free, want, left = [], [], []
+    for i in range(40):
+        if not is_doc[i]:
+            free.append(i)
+        elif free:
+            want.append((free.pop(), i))
+        else:
+            left.append(i)
+    g, d, docs_left, gaps_left = packing.swept(size, is_doc)
+    assert sorted(zip(g.tolist(), d.tolist(), strict=True)) == sorted(want) and docs_left.tolist() == left and gaps_left.tolist() == free
+    # The same in ranges: what the ranges leave is matched by their numbers.
+    cuts, pairs, counts, lefts = [0, 9, 20, 21, 40], [], [], {}
+    for r, (a, b) in enumerate(itertools.pairwise(cuts)):
+        g, d, dl, gl = packing.swept(size[a:b], is_doc[a:b])
+        pairs += [(a + i, a + j) for i, j in zip(g.tolist(), d.tolist(), strict=True)]
+        counts.append((r, len(dl), len(gl)))
+        lefts[r] = (dl + a, gl + a)
+    for dr, first, gr, last, n in packing.across(counts):
+        pairs += [(int(lefts[gr][1][last - t]), int(lefts[dr][0][first + t])) for t in range(n)]
+    assert sorted(pairs) == sorted(want)
 
 
 # --- secrets
