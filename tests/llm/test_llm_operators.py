@@ -494,6 +494,50 @@ def test_surrogates_are_distinct_and_keep_coreference(spark):
     assert all(len(v) == 1 for v in to.values()) and len({next(iter(v)) for v in to.values()}) == len(to)
 
 
+def test_names_keep_their_persons(spark):
+    texts = ["Mr. Keller met Mrs Clara Keller. Mr Keller and Mrs Keller left with Herr Bruno Keller and Frau Clara Weber.", "Господин Орлов и Госпожа Анна Орлова, Mr Παπαδόπουλος", "Mrs Clara Keller", "Ann.Bee@Example.COM wrote to ann.bee@example.com"]
+    a, b, c, d = (r["text"] for r in sorted(pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect(), key=lambda r: r["doc_id"]))
+    m = re.fullmatch(r"Mr\. (\w+) met Mrs (\w+) (\w+)\. Mr (\w+) and Mrs (\w+) left with Herr (\w+) (\w+) and Frau (\w+) (\w+)\.", a)
+    assert m and len({m[i] for i in (1, 3, 4, 5, 7)}) == 1 and m[1] not in ("Keller", m[9]) and m[2] == m[8] in pii.GIVEN["latin", "f"] and m[6] in pii.GIVEN["latin", "m"]
+    assert c == f"Mrs {m[2]} {m[3]}"
+    m = re.fullmatch(r"Господин ([А-я]+) и Госпожа ([А-я]+) ([А-я]+), Mr ([Α-ωά-ώ]+)", b)
+    assert m and m[3] == m[1] + "а" and m[1] != "Орлов" and m[2] in pii.GIVEN["cyrillic", "f"]
+    one, two = d.split(" wrote to ")
+    assert one.lower() == two and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}@[A-Z][a-z]{6}\.COM", one)
+
+
+def test_what_is_replaced_is_what_the_patterns_find(spark):
+    import regex
+
+    pool = ["ann.bee@mail.example.com", "x@a.b", "10.20.30.40", "300.1.1.1", "Mr Keller", "Frau Anna Weber", "Mister X", "+1 (212) 555-0199", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "4111111111111112", "12-34", "word", "@", "Mr. Otto-Karl Haas."]
+    rng = np.random.default_rng(4)
+    texts = [" ¦ ".join(rng.choice(pool, 12)) for _ in range(40)]
+    got = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    pattern = regex.compile(pii.ANY.replace("\\pL", "\\p{L}").replace("\\pN", "\\p{N}"))
+    to = {}
+    for i, t in enumerate(texts):
+        old, new = t.split(" ¦ "), got[i]["text"].split(" ¦ ")
+        assert len(old) == len(new) and got[i]["n_entities"] == sum(len(pattern.findall(x)) for x in old)
+        for x, y in zip(old, new, strict=True):
+            assert to.setdefault(x, y) == y and (x == y) == (not pattern.search(x))
+    assert len(set(to.values())) == len(to)
+
+
+def test_surrogates_of_long_texts(spark):
+    texts = ["mail x@" + "a." * 500_000 + "com", "a@" * 300_000, "1 " * 500_000, "Mr " + "A" + "b" * 500_000, "Mr Ab-" * 50_000 + "B", "x" * 300_000 + "@example.com", "." * 1_000_000 + "@"]
+    got = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    assert len(got) == 7 and {r["doc_id"] for r in got if r["n_email"]} == {5}
+
+
+def test_replacements_grow_where_a_format_is_full(spark):
+    rows = spark.createDataFrame([("phone", "2125550199"), ("ip", "10.2.3.4"), ("card", "4111111111111111"), ("email", "a@b.example.com"), ("family", "Keller"), ("given f", "Clara"), ("iban", "DE89370400440532013000")], "kind string, entity string")
+    at = lambda n: {r["kind"]: r["to"] for r in pii.with_surrogate(rows, "k", n).collect()}
+    small, large = at(0), at(9)
+    for kind, size in (("phone", 10), ("card", 16), ("iban", 22)):
+        assert len(small[kind]) == size and len(large[kind]) == size + 2
+    assert re.fullmatch(r"fd\w\w(:\w{4}){7}", large["ip"]) and len(large["email"]) == len(small["email"]) + 2 and len(large["family"]) > 6 and large["given f"].istitle()
+
+
 # --- language model
 
 
