@@ -117,7 +117,9 @@ def scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, batch_chars: int
                 keys, counts = asked(ngrams(words, sizes, order))
                 at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
                 parts = [(squeezed(keys[s:e]), counts[s:e].astype("u4").view("u1").reshape(-1, 4).T.tobytes()) for s, e in zip(at, at[1:], strict=False)]
-                yield pa.record_batch([pa.array([batch] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([k for k, _ in parts], pa.binary()), pa.array([c for _, c in parts], pa.binary())], ["batch", "bucket", "keys", "counts"])
+                # Only buckets of which the batch holds something: rows are no more than its n-grams, however many buckets.
+                held = [(i, k, c) for i, (k, c) in enumerate(parts) if k]
+                yield pa.record_batch([pa.array([batch] * len(held), pa.int64()), pa.array([i for i, _, _ in held], pa.int32()), pa.array([k for _, k, _ in held], pa.binary()), pa.array([c for _, _, c in held], pa.binary())], ["batch", "bucket", "keys", "counts"])
 
     def add_up(group: pa.Table) -> pa.Table:
         keys = [unsqueezed(k) for k in group["keys"].to_pylist()]
