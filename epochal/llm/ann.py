@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import map_arrow, materialize
@@ -156,15 +156,17 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = 1
     pairs = probed.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(compare, FOUND)
 
     def first(pairs: DataFrame) -> DataFrame:
-        # A vector that several tables found is the same pair; the first k of each query are kept in a bounded array.
+        # A vector that several tables found is the same pair. Spark cuts each query's rows to the first k before
+        # they are dealt out, so no task holds all that a query met.
         once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return once.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score"))), 1, k).alias("top"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     ranked = materialize(first(pairs))
     # Queries that met fewer than there are to find are compared with all vectors.
     least_n = min(k, rows.select("vec_id").distinct().count() - 1)
-    short = asked.join(ranked.where(F.size("top") >= least_n).select("query_id"), "query_id", "left_anti")
-    short = materialize(short.select("query_id", "vec"))
+    enough = ranked.groupBy("query_id").count().where(F.col("count") >= least_n)
+    short = materialize(asked.join(enough, "query_id", "left_anti").select("query_id", "vec"))
     asking = short.count()
     if asking and least_n > 0:
         rest, sides = ranked.join(short.select("query_id").distinct(), "query_id", "left_anti"), []
@@ -175,4 +177,4 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = 1
             sides.append(df.withColumn("p", mine if own == 0 else others).withColumn("q", others if own == 0 else mine))
         every_pair = sides[0].groupBy("p", "q").cogroup(sides[1].groupBy("p", "q")).applyInPandas(compare, FOUND)
         ranked = rest.unionByName(first(every_pair))
-    return ranked.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
+    return ranked
