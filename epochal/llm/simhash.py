@@ -185,7 +185,7 @@ def links(prints: DataFrame, radius: int = 4, target: int = 64, limit: int = 409
 def runs(batches, keys: list[str], values: list[str], rows: int = 50_000):
     """The value columns of each run of equal keys in batches that are sorted by them; ``rows`` are read at once."""
     rest: list[pa.RecordBatch] = []
-    for batch in [*batches, None]:
+    for batch in itertools.chain(batches, [None]):
         if batch is not None:
             rest.append(batch)
             if sum(b.num_rows for b in rest) < rows:
