@@ -76,8 +76,9 @@ def features(saved: list[int]) -> list[float]:
     return [1.0, min(max(saved), 10), *found, np.log1p(len(saved))]
 
 
-def distinctive(toxic: list[str], ordinary: list[str], least: float, ratio: float) -> list[bytes]:
-    """Fragments and words that many toxic texts hold and hardly any ordinary one, the most frequent last."""
+def distinctive(toxic: list[str], ordinary: list[str], least: float, ratio: float, most: int) -> list[bytes]:
+    """Fragments and words that many toxic texts hold and hardly any ordinary one, at most ``most`` of them, the most
+    frequent last."""
 
     def held(text: str) -> set[bytes]:
         found = {b" " + w + b" " for w in words(text)}
@@ -96,23 +97,23 @@ def distinctive(toxic: list[str], ordinary: list[str], least: float, ratio: floa
         # A shorter one adds nothing to a longer one that about as many texts hold.
         if not any(g in k and good[k] >= 0.6 * good[g] for k in kept):
             kept.append(g)
-    return sorted(kept, key=lambda g: (good[g], g))[-2000:]
+    return sorted(kept, key=lambda g: (good[g], g))[-most:]
 
 
-def fit(toxic: list[str], ordinary: list[str], least: float = 0.01, ratio: float = 30.0, size: int = 16_384, rounds: int = 4, seed: int = 1) -> Model:
+def fit(toxic: list[str], ordinary: list[str], least: float = 0.01, ratio: float = 30.0, size: int = 16_384, fragments: int = 2000, rounds: int = 4, seed: int = 1) -> Model:
+    """The dictionaries and the curve: ``fragments`` bounds the toxic part, ``size`` the bytes of ordinary windows that
+    each round puts into the ordinary one."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if not toxic or not ordinary:
         return Model(b"", b"", ())
     rng = np.random.default_rng(seed)
-    # Distinctive fragments are looked for in one half of the rows; the other half keeps the calibration honest.
-    half_t, half_o = toxic[::2] if len(toxic) > 400 else toxic, ordinary[::2] if len(toxic) > 400 else ordinary
-    bad = b"\n".join(distinctive(half_t, half_o, least, ratio))
-    pool = [w for t in ordinary[:1500] for w in windows(t)]
+    bad = b"\n".join(distinctive(toxic, ordinary, least, ratio, fragments))
+    pool = [w for t in ordinary for w in windows(t)]
     plain = b"".join(pool[i] for i in rng.permutation(len(pool))[: size // WINDOW])
     for _ in range(rounds):
         model = Model(bad, plain, ())
         pair = model.compressors()
-        wrong = Counter(w for t in half_o for w, s in zip(windows(t), savings(t, *pair), strict=True) if s >= 2)
+        wrong = Counter(w for t in ordinary for w, s in zip(windows(t), savings(t, *pair), strict=True) if s >= 2)
         if not wrong:
             break
         plain = b"".join(w for w, _ in wrong.most_common(size // WINDOW)) + plain
