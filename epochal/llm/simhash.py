@@ -300,7 +300,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, limit:
 
         return f
 
-    sets = map_arrow(rows.select("key", "text").join(ends, "key", "left_semi"), sets_of, "key long, set binary")
+    # One text a key: its copies are told apart by their ids, so that a group of copies is no one task's work.
+    held_by = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("held_by")
+    one = prints.select("key", held_by).groupBy("key").agg(F.min("held_by").alias("held_by")).join(ends, "key", "left_semi")
+    sets = map_arrow(rows.select("key", "text", held_by).join(one, ["key", "held_by"], "left_semi").select("key", "text"), sets_of, "key long, set binary")
     sets = materialize(sets.groupBy("key").agg(F.first("set").alias("set")))
 
     def check():
