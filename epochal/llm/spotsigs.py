@@ -72,11 +72,12 @@ def neighbours(docs: DataFrame, block: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.expr(f"coalesce(doc_id div {block}, -9223372036854775807)"))
     order = [F.asc_nulls_first("doc_id"), F.asc("text")]
     least = F.struct(F.col("doc_id").isNotNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("text").alias("text"))
-    # One row for each range of ids, in their order, with the first text of the next one.
-    firsts = rows.groupBy("block").agg(F.min(least).alias("first"))
+    firsts = rows.groupBy("block").agg(F.min(least).alias("first")).select(F.col("block").alias("next"), F.col("first.text").alias("after"))
+    # Which range comes next is found by the ranges' numbers alone; its first text is then looked up.
     ranges = Window.orderBy("block")
     whole = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = firsts.select("block", F.coalesce(F.lead("first.text").over(ranges), F.first("first.text").over(whole)).alias("after"))
+    numbers = rows.select("block").distinct().select("block", F.coalesce(F.lead("block").over(ranges), F.first("block").over(whole)).alias("next"))
+    after = numbers.join(firsts, "next").select("block", "after")
     within = Window.partitionBy("block").orderBy(*order)
     here = rows.withColumn("following", F.lead("text").over(within))
     # The join needs the same partitions as the window, so texts are dealt out once.
