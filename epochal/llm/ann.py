@@ -2,10 +2,11 @@
 
 A vector is turned by three rounds of random signs and a fast Hadamard transform and assigned to the nearest signed
 axis; each of ``tables`` tables turns by signs of its own. A query looks into the ``probes`` nearest axes of each
-table, and what it meets there is ranked by the exact inner product in double precision. Large buckets are dealt into
-blocks, each compared with all queries that probe the bucket, so none is cut and none is one task's work. Buckets are
-single axes however many vectors there are: their number doesn't grow, so work grows with queries times vectors.
-Queries that met fewer than ``k`` vectors though there are more to find are compared with all, exactly.
+table, and what it meets there is ranked by the exact inner product in double precision. A bucket's
+vectors and the queries that probe it are both dealt into blocks, and each two blocks are a task's work, so none is cut
+and none is one task's. Buckets are single axes however many vectors there are: their number doesn't grow, so work
+grows with queries times vectors. Equal queries are asked once; those that met too few vectors though there are more
+to find are compared with all, exactly.
 
 Measured recall at 20 with the defaults on random unit vectors, the hardest case: over 0.95 at 2,000 to 50,000.
 
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .shared import map_arrow, materialize
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "asked long, vec_id long, score double"
+#: Products of a block of queries and one of vectors that are held at once.
+AT_ONCE = 1 << 22
 
 
 def rotated(x: np.ndarray, table: int, turn: int, seed: int) -> np.ndarray:
@@ -103,7 +106,11 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = 1
     longer = least < 0.999 * most  # then one more coordinate evens the norms out
     dim = size["n"] // 8 + longer
     axes = 2 << max(0, dim - 1).bit_length()
-    blocks = max(1, -(-int(n) // axes // block))
+    # Equal queries are asked once, under a number; whose they are is looked up at the end.
+    owners = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec", "norm").distinct()
+    asking = materialize(materialize(owners.groupBy("vec").agg(F.first("norm").alias("norm"))).withColumn("asked", F.monotonically_increasing_id()))
+    n_asked = asking.count()
+    blocks, lots = max(1, -(-int(n) // axes // block)), max(1, -(-n_asked * probes // axes // block))
 
     def place(queries: bool):
         def make():
@@ -120,14 +127,15 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = 1
                 at = np.repeat(np.arange(len(x)), found.shape[1])
                 table = np.tile(np.repeat(np.arange(tables), wide), len(x))
                 number = found.reshape(-1)
-                if queries:  # a query goes to all blocks of a bucket, a vector to one
-                    at, table, number, part = (np.repeat(a, blocks) for a in (at, table, number, np.zeros(len(at), "i8")))
-                    part += np.tile(np.arange(blocks), len(at) // blocks)
-                else:
-                    first = np.array([i[0] for i in batch.column(2).to_pylist()], "i8")
-                    part = (first * 2654435761 % (1 << 32))[at] % blocks
+                # A query is of one lot and goes to all blocks of a bucket, a vector is of one block and goes to all lots.
+                own, others = (lots, blocks) if queries else (blocks, lots)
+                first = np.array(batch.column(2).to_pylist() if queries else [i[0] for i in batch.column(2).to_pylist()], "i8")
+                mine = (first * 2654435761 % (1 << 32))[at] % own
+                at, table, number, mine = (np.repeat(a, others) for a in (at, table, number, mine))
+                other = np.tile(np.arange(others), len(at) // others)
+                part = mine * blocks + other if queries else other * blocks + mine
                 cols = [pa.array(table, pa.int32()), pa.array(number.astype("i8")), pa.array(part.astype("i8")), batch.column(2).take(pa.array(at)), batch.column(0).take(pa.array(at))]
-                return pa.record_batch(cols, ["tb", "bucket", "part", "query_id" if queries else "ids", "vec"])
+                return pa.record_batch(cols, ["tb", "bucket", "part", "asked" if queries else "ids", "vec"])
 
             return f
 
@@ -135,46 +143,46 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, tables: int = 1
 
     def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "i8", "vec_id": "i8", "score": "f8"})
+            return pd.DataFrame({"asked": [], "vec_id": [], "score": []}).astype({"asked": "i8", "vec_id": "i8", "score": "f8"})
         qx, bx = (np.frombuffer(b"".join(d["vec"]), "f8").reshape(len(d), -1) for d in (q, b))
-        ids, out = list(b["ids"]), []
-        for at in range(0, len(qx), 512):
-            scores = qx[at : at + 512] @ bx.T
-            # All that score no less than the k-th besides the query itself, then the first k by score and id.
+        who, ids, out = q["asked"].to_numpy(), list(b["ids"]), []
+        step = max(1, min(512, AT_ONCE // len(bx)))
+        for at in range(0, len(qx), step):
+            scores = qx[at : at + step] @ bx.T
+            # All that score no less than the one after the k-th, then the first by score and id: k besides the query.
             last = max(0, scores.shape[1] - k - 1)
             least = np.partition(scores, last, axis=1)[:, last]
             for i, row in enumerate(scores):
-                who = q["query_id"].iloc[at + i]
-                met = sorted((-row[j], v) for j in np.flatnonzero(row >= least[i]) for v in ids[j] if v != who)
-                out += [(who, v, -less) for less, v in met[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                met = sorted((-row[j], v) for j in np.flatnonzero(row >= least[i]) for v in ids[j])
+                out += [(who[at + i], v, -less) for less, v in met[: k + 1]]
+        return pd.DataFrame(out, columns=["asked", "vec_id", "score"])
 
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec"]).select("vec", "norm", F.col("vec_id").alias("query_id"))
     there = map_arrow(base, place(False), "tb int, bucket long, part long, ids array<long>, vec binary")
-    probed = map_arrow(asked, place(True), "tb int, bucket long, part long, query_id long, vec binary")
+    probed = map_arrow(asking, place(True), "tb int, bucket long, part long, asked long, vec binary")
     keys = ["tb", "bucket", "part"]
     pairs = probed.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(compare, FOUND)
 
-    def first(pairs: DataFrame) -> DataFrame:
-        # A vector that several tables found is the same pair. Spark cuts each query's rows to the first k before
+    def first(pairs: DataFrame, who: str, most: int) -> DataFrame:
+        # A vector that several tables found is the same pair. Spark cuts the rows of each to the first few before
         # they are dealt out, so no task holds all that a query met.
-        once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        once = pairs.groupBy(who, "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy(who).orderBy(F.desc("score"), "vec_id")
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(who, "rank", "vec_id", "score")
 
-    ranked = materialize(first(pairs))
+    met = materialize(first(pairs, "asked", k + 1))
     # Queries that met fewer than there are to find are compared with all vectors.
-    least_n = min(k, rows.select("vec_id").distinct().count() - 1)
-    enough = ranked.groupBy("query_id").count().where(F.col("count") >= least_n)
-    short = materialize(asked.join(enough, "query_id", "left_anti").select("query_id", "vec"))
-    asking = short.count()
-    if asking and least_n > 0:
-        rest, sides = ranked.join(short.select("query_id").distinct(), "query_id", "left_anti"), []
-        parts = [max(1, -(-int(m) // block)) for m in (asking, n)]
+    least_n = min(k + 1, rows.select("vec_id").distinct().count())
+    enough = met.groupBy("asked").count().where(F.col("count") >= least_n)
+    short = materialize(asking.join(enough, "asked", "left_anti").select("asked", "vec"))
+    n_short = short.count()
+    if n_short:
+        rest, sides = met.join(short.select("asked"), "asked", "left_anti"), []
+        parts = [max(1, -(-int(m) // block)) for m in (n_short, n)]
         for df, own in ((short, 0), (base.select("ids", "vec"), 1)):  # each block of queries meets each block of vectors
-            mine = F.pmod(F.xxhash64("query_id" if own == 0 else "vec"), F.lit(parts[own])).cast("int")
+            mine = F.pmod(F.xxhash64("vec"), F.lit(parts[own])).cast("int")
             others = F.explode(F.sequence(F.lit(0), F.lit(parts[1 - own] - 1)))
             sides.append(df.withColumn("p", mine if own == 0 else others).withColumn("q", others if own == 0 else mine))
         every_pair = sides[0].groupBy("p", "q").cogroup(sides[1].groupBy("p", "q")).applyInPandas(compare, FOUND)
-        ranked = rest.unionByName(first(every_pair))
-    return ranked
+        met = materialize(rest.unionByName(first(every_pair, "asked", k + 1)))
+    who = owners.join(asking.select("vec", "asked"), "vec").select("query_id", "asked")
+    return first(who.join(met.drop("rank"), "asked").where("vec_id <> query_id"), "query_id", k)

@@ -349,6 +349,22 @@ def test_ties_go_to_the_smaller_ids(spark):
         assert got[q] == np.lexsort((np.arange(len(x)), -s))[:2].tolist()
 
 
+def test_blocks_of_queries_and_vectors_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ann, "AT_ONCE", 64)
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(900, 8))
+    x[::3] = x[0]  # one vector holds a third of all rows, and so of the queries
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(ann.nearest(d, k=10, every=5, tables=1, probes=32, block=50).collect()):
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == set(range(0, 900, 5))
+    for q in got:
+        s = np.round(x @ x[q], 9)
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(900), -s))[:10].tolist()
+
+
 # --- SimHash
 
 
