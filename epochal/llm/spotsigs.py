@@ -67,8 +67,8 @@ def spelled(prints: Column) -> Column:
 
 
 def neighbours(docs: DataFrame, block: int) -> DataFrame:
-    """Every document with the text of the next one by ascending id (after the last, the first), dealt by ranges of
-    ids; only each range's first document is needed elsewhere."""
+    """Every document and its fingerprint with those of the next one by ascending id (after the last, the first), dealt
+    by ranges of ids; only each range's first document is needed elsewhere."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.expr(f"coalesce(doc_id div {block}, -9223372036854775807)"))
     order = [F.asc_nulls_first("doc_id"), F.asc("text")]
     least = F.struct(F.col("doc_id").isNotNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("text").alias("text"))
@@ -79,9 +79,12 @@ def neighbours(docs: DataFrame, block: int) -> DataFrame:
     numbers = rows.select("block").distinct().select("block", F.coalesce(F.lead("block").over(ranges), F.first("block").over(whole)).alias("next"))
     after = numbers.join(firsts, "next").select("block", "after")
     within = Window.partitionBy("block").orderBy(*order)
-    here = rows.withColumn("following", F.lead("text").over(within))
-    # The join needs the same partitions as the window, so texts are dealt out once.
-    return here.join(after, "block").select("doc_id", "text", F.coalesce("following", "after").alias("following"))
+    # The window and the join need the same partitions, so texts are dealt out once, and fingerprints, which are taken
+    # after that, not at all.
+    dealt = with_spots(rows.repartition("block"), "a", F.col("text"))
+    here = dealt.withColumn("following", F.lead("text").over(within)).withColumn("c", F.lead("a").over(within))
+    there = here.join(with_spots(after, "z", F.col("after")), "block")
+    return there.select("doc_id", "text", "a", F.coalesce("following", "after").alias("following"), F.coalesce("c", "z").alias("c"))
 
 
 def report(docs: DataFrame, block: int = 500) -> DataFrame:
@@ -89,9 +92,7 @@ def report(docs: DataFrame, block: int = 500) -> DataFrame:
     rows = neighbours(docs, block)
     cut = F.expr("length(text) div 4")
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.substring(F.col("following"), F.lit(1), cut))
-    rows = rows.withColumn("edited", edited)
-    for name, of in (("a", "text"), ("b", "edited"), ("c", "following")):
-        rows = with_spots(rows, name, F.col(of))
+    rows = with_spots(rows.withColumn("edited", edited), "b", F.col("edited"))
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), spelled(F.col("a")).alias("fingerprint"), spelled(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
 
 
