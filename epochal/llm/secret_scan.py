@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, materialize, texts_of
+from .shared import map_arrow, materialize, texts_of, unused
 
 # The patterns and least lengths of the base kinds, in the order that ties take.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -121,17 +121,18 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", n_chars_col: str | None = "n
     spans = scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col, **options)
     live = spans.select("key", F.filter("spans", lambda x: x["live"]).alias("spans")).where(F.size("spans") > 0)
     live = live.groupBy("key").agg(F.first("spans").alias("spans"))
-    live = live.select(F.col("key").alias("__key"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("__spans"))
+    key_name, spans_name = unused("__key", names), unused("__spans", names)
+    live = live.select(F.col("key").alias(key_name), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(spans_name))
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at, spans_at = batch.schema.get_field_index(text_col), batch.schema.get_field_index("__spans")
+            at, spans_at = batch.schema.get_field_index(text_col), batch.schema.get_field_index(spans_name)
             texts = [t if s is None else covered(t, [(x["start"], x["end"]) for x in s], mask) for t, s in zip(batch.column(at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True)]
             return batch.set_column(at, text_col, pa.array(texts, pa.string())).select(names)
 
         return f
 
-    marked = docs.withColumn("__key", key(*columns)).join(live, "__key", "left").drop("__key")
+    marked = docs.withColumn(key_name, key(*columns)).join(live, key_name, "left").drop(key_name)
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     out = map_arrow(marked, make, schema)
     return out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType)) if n_chars_col and n_chars_col in docs.columns else out

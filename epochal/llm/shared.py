@@ -19,14 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Runs a function over the Arrow batches of each partition; ``make`` builds it once per task."""
 
+    names = df.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            out = f(batch)
+            out = f(batch.rename_columns(names))
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    # Columns go under plain names, as mapInArrow takes a dot in a name for a field.
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """A column name like ``name`` that isn't among the columns, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own(df: DataFrame) -> list:
+    """A table's columns as they are named, whatever characters the names have."""
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

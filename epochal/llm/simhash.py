@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import map_arrow, materialize, texts_of
+from .shared import map_arrow, materialize, texts_of, unused
 
 SEED = 42
 
@@ -361,10 +361,11 @@ def shingle_set(text: str, size: int) -> np.ndarray:
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group of near copies: the one of the smallest id, null ids last; of rows that
-    are equal in id and text, one."""
+    are equal in id and text, any one."""
     groups = materialize(near_copies(docs, similarity, size, id_col=id_col, text_col=text_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("x")
-    kept = groups.groupBy("group").agg(first).select(F.col("x.doc_id").alias("__id"), F.col("x.key").alias("__key"))
-    one = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__key")), "left_semi")
+    id_name, key_name = unused("__id", docs.columns), unused("__key", docs.columns)
+    kept = groups.groupBy("group").agg(first).select(F.col("x.doc_id").alias(id_name), F.col("x.key").alias(key_name))
+    one = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col(id_name)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(key_name)), "left_semi")
     again = groups.groupBy("doc_id", "key").count().where("count > 1")
     return one if again.isEmpty() else one.dropDuplicates([id_col, text_col])

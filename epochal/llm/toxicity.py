@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, texts_of
+from .shared import map_arrow, own, texts_of, unused
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW = 64
@@ -188,4 +188,5 @@ def report(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> DataFrame:
     """The documents without the toxic ones."""
-    return with_score(docs, train(docs, labels, sample), "__score").where("__score < 0.5").select(docs.columns)
+    name = unused("__score", docs.columns)
+    return with_score(docs, train(docs, labels, sample), name).where(F.col(name) < 0.5).select(own(docs))

@@ -482,6 +482,24 @@ def test_near_copies_of_each_kind(spark):
     assert min(pairs[k] for k in range(3)) > 30
 
 
+# --- stages of the pipeline
+
+
+def test_stages_leave_columns_of_their_own_names_alone(spark, docs):
+    from epochal.llm.shared import unused
+
+    assert unused("__key", ["__KEY", "__key_"]) == "__key__"
+    extra = {"__key": F.lit("k1"), "__spans": F.lit("s1"), "__score": F.lit(2.0), "__id": F.lit(-1), "__pid": F.lit("p"), "a.b": F.lit("dot")}
+    mine = docs.withColumns(extra)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    for stage in (lambda d: toxicity.reject(d, labels), simhash.keep_one, secret_scan.redact):
+        plain, got = stage(docs), stage(mine)
+        assert got.columns == mine.columns and plain.columns == docs.columns
+        rows = got.collect()
+        assert by_id(rows, "text") == by_id(plain.collect(), "text")
+        assert {(r["__key"], r["__spans"], r["__score"], r["__id"], r["__pid"], r["a.b"]) for r in rows} == {("k1", "s1", 2.0, -1, "p", "dot")}
+
+
 # --- personal data
 
 
