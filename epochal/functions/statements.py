@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 COMMENT = r"^(?:\s++|--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|$))*+"
 
 
+def stripped(sql: Column) -> Column:
+    """Without blanks at the front. Spaces go first, byte by byte and before the text is decoded for a pattern: long
+    runs of them would take most of the time of every pattern."""
+    return F.regexp_replace(F.ltrim(sql), r"^\s++", "")
+
+
 def bare(sql: Column) -> Column:
     """Without blanks and comments at the front."""
-    return F.regexp_replace(sql, COMMENT, "")
+    return F.regexp_replace(F.ltrim(sql), COMMENT, "")
 
 
 def starts_with(sql: Column, *words: str) -> Column:
@@ -51,9 +57,11 @@ def is_ddl(sql: Column) -> Column:
 def is_point(sql: Column, *key: Column) -> Column:
     """Addresses one row: an insert of one row, or a change whose condition is an equality of every column of the
     key, joined by AND, without a subquery and without a conflict policy."""
+    sql = stripped(sql)
     one = starts_with(sql, "INSERT") & ~is_multi_row(sql) & ~has_word(sql, "SELECT")
-    condition = F.regexp_replace(F.regexp_extract(sql, r"(?is)\bWHERE\s++(.*+)$", 1), r"[\s;]++$", "")
-    parts = F.split(condition, r"(?i)\s++AND\s++")
+    condition = F.regexp_replace(F.regexp_extract(sql, r"(?is)\bWHERE\s++(.*+)$", 1), r"(?<![\s;])[\s;]++$", "")
+    # Runs of blanks are looked at from their first on: from each of their blanks it would take their length squared.
+    parts = F.split(condition, r"(?i)(?<!\s)\s++AND\s++")
     equal = r"^([A-Za-z_][A-Za-z0-9_]*+)\s*+==?\s*+(?:'[^']*+'|[^=<>\s']++)$"
     named = F.array_sort(F.transform(parts, lambda p: F.lower(F.regexp_extract(p, equal, 1))))
     keyed = starts_with(sql, "UPDATE", "DELETE") & (condition != "") & named.eqNullSafe(F.array_sort(F.array(*[F.lower(k) for k in key]))) & ~has_word(sql, "SELECT")

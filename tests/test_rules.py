@@ -28,6 +28,18 @@ def test_long_blanks_and_comments(spark):
     assert [tuple(r) for r in got] == [(a, b) for _, a, b in rows]
 
 
+def test_blanks_inside_take_their_length_once(spark):
+    import time
+
+    gap = " " * 300_000
+    rows = [(f"UPDATE t SET a = 1 WHERE id = 5{gap};{gap}", True), (f"UPDATE t SET a = 1 WHERE id = 5{gap}x", False), (f"UPDATE t SET a = 1 WHERE id = 5{gap}AND{gap}b = 1", False)]
+    q = spark.createDataFrame(rows, "q string, want boolean")
+    at = time.time()
+    got = q.select("want", statements.is_point(F.col("q"), F.lit("id")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    assert time.time() - at < 20
+
+
 def test_points_by_whole_keys(spark):
     rows = [("UPDATE t SET v = 1 WHERE k1 = 1 AND k2 = 'a'", True), ("DELETE FROM t WHERE K2='a' and k1=1;", True), ("UPDATE t SET v = 1 WHERE k1 = 1", False), ("UPDATE t SET v = 1 WHERE k1 = 1 AND k2 > 'a'", False), ("UPDATE t SET v = 1 WHERE k1 = 1 OR k2 = 'a'", False), ("UPDATE t SET v = 1 WHERE k1 = 1 AND k2 = 'a' AND v = 2", False), (None, None)]
     got = spark.createDataFrame([(q,) for q, _ in rows], "q string").select(statements.is_point(F.col("q"), F.lit("k1"), F.lit("k2"))).collect()
