@@ -126,7 +126,7 @@ def f14_uri_escape(spark, d):
 @query("SELECT p_partkey, length(p_name) AS n, hex(p_name) AS bytes, replace(p_name, 'widget', 'w') AS short, lpad(p_partkey::VARCHAR, 6, '0') AS padded, repeat('00', (p_partkey % 4)::INT) AS zeros, p_name ILIKE 'C%' AS c FROM part")
 def f16_strings(spark, d):
     p = read(spark, d, "part")
-    return p.select("p_partkey", F.length("p_name").cast("long").alias("n"), F.hex("p_name").alias("bytes"), F.replace("p_name", F.lit("widget"), F.lit("w")).alias("short"), F.format_string("%06d", "p_partkey").alias("padded"), F.repeat(F.lit("00"), (F.col("p_partkey") % 4).cast("int")).alias("zeros"), F.col("p_name").ilike("C%").alias("c"))
+    return p.select("p_partkey", F.length("p_name").cast("long").alias("n"), F.hex("p_name").alias("bytes"), F.replace("p_name", F.lit("widget"), F.lit("w")).alias("short"), F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("padded"), F.repeat(F.lit("00"), (F.col("p_partkey") % 4).cast("int")).alias("zeros"), F.col("p_name").ilike("C%").alias("c"))
 
 
 @query("SELECT o_orderkey, trunc((o_custkey - 50) / 7)::BIGINT AS quotient, (o_orderstatus = 'F' AND o_custkey > 20)::INT AS truth, coalesce(nullif(o_orderstatus, 'O'), 'open') AS status, greatest(o_custkey, o_orderkey) AS larger, CASE WHEN o_orderkey % 3 = 0 THEN 'integer' WHEN o_orderkey % 3 = 1 THEN 'real' ELSE 'null' END AS kind FROM orders")

@@ -46,6 +46,18 @@ def test_same_rows(spark, db, name):
     assert rows(names, found) == rows(names, [dict(zip(order, r, strict=True)) for r in want.fetchall()])
 
 
+@pytest.mark.parametrize("name", ["f16_strings"])
+def test_same_rows_of_large_keys(spark, tmp_path, name):
+    c = duckdb.connect()
+    for t, key in (("part", "p_partkey"), ("orders", "o_orderkey")):
+        c.execute(f"copy (select * replace ({key} + 1234567 * (i % 3) as {key}) from '{SF}/{t}.parquet', range(3) r(i)) to '{tmp_path}/{t}.parquet' (format parquet)")
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    want = c.execute(queries.ORACLE_SQL[name])
+    order = [d[0] for d in want.description]
+    assert rows(order, [r.asDict() for r in got.collect()]) == rows(order, [dict(zip(order, r, strict=True)) for r in want.fetchall()])
+
+
 def test_entry(spark):
     import __spark_entry__
 
