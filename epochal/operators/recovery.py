@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import last_before
+
 #: The most pages of a record, and what a record's header says it is.
 MOST_PAGES, MAGIC = 1 << 24, 0x4D574C43
 
@@ -169,16 +171,13 @@ def compaction_points(log: DataFrame, limit: int) -> DataFrame:
     return cut.groupBy("segment").agg(F.max("epoch").alias("epoch"), F.sum("bytes").alias("bytes")).crossJoin(F.broadcast(last)).where("segment < __last").select("epoch", "bytes")
 
 
-def group_commits(commits: DataFrame, syncs: DataFrame, width: int = 1000) -> DataFrame:
-    """tx_id and sync_id: the first sync that began after a commit's record was written, looked up in time order by
-    ranges of time, with the next range's first sync for those after which none follows in theirs."""
-    both = commits.select("tx_id", F.lit(None).cast("long").alias("sync_id"), F.col("append_end").alias("at")).unionByName(syncs.select(F.lit(None).cast("long").alias("tx_id"), "sync_id", F.col("sync_start").alias("at")))
-    both = both.withColumn("r", F.floor(F.col("at") / width))
-    w = Window.partitionBy("r").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
-    here = both.withColumn("own", F.min(F.when(F.col("sync_id").isNotNull(), F.struct("at", "sync_id"))).over(w))
-    firsts = both.groupBy("r").agg(F.min(F.when(F.col("sync_id").isNotNull(), F.struct("at", "sync_id"))).alias("f"))
-    later = firsts.select("r", F.min("f").over(Window.orderBy("r").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    return here.where("tx_id is not null").join(later, "r").select("tx_id", F.coalesce("own", "later")["sync_id"].alias("sync_id"))
+def group_commits(commits: DataFrame, syncs: DataFrame, width: int = 100_000) -> DataFrame:
+    """tx_id and sync_id: the first sync that began after a commit's record was written. Time is read backwards, so
+    that it is the newest before it: frames that grow take a row once, those that shrink each time they are cut."""
+    asks = commits.select("tx_id", (-F.col("append_end")).alias("at"), F.lit(0).alias("all"))
+    facts = syncs.select((-F.col("sync_start")).alias("at"), (-F.col("sync_id")).alias("minus"), F.lit(0).alias("all"))
+    found = last_before(asks, facts, ["all"], "at", "minus", "found", width=width)
+    return found.select("tx_id", (-F.col("found")).alias("sync_id"))
 
 
 def batch_durability(requests: DataFrame, batch: str, level: str = "sync_level") -> DataFrame:

@@ -317,3 +317,16 @@ def test_conflicts_of_a_stream_are_those_of_a_batch(spark, tmp_path):
     stream = tail.tail(spark, f"file://{tmp_path}/in/*", w.schema.simpleString()[7:-1].replace(":", " "), files=1)
     got = tail.run_to_end(tail.validated(stream), "validated", "append").where("conflict").collect()
     assert {r["tx_id"] for r in got} == {r["tx_id"] for r in validate.write_conflicts(t, "page").collect()}
+
+
+def test_group_commits_by_running_frames(spark):
+    rng = random.Random(5)
+    commits = [(i, rng.randrange(300)) for i in range(80)]
+    syncs = [(100 + i, rng.randrange(280)) for i in range(12)]
+    c, s = spark.createDataFrame(commits, "tx_id long, append_end long"), spark.createDataFrame(syncs, "sync_id long, sync_start long")
+    want = {i: min(((at, y) for y, at in syncs if at > end), default=(None, None))[1] for i, end in commits}
+    for width in (1, 20, 1000):
+        got = recovery.group_commits(c, s, width)
+        assert {r["tx_id"]: r["sync_id"] for r in got.collect()} == want
+        # A frame up to the end is worked out anew for each row.
+        assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
