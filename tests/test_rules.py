@@ -330,3 +330,11 @@ def test_group_commits_by_running_frames(spark):
         assert {r["tx_id"]: r["sync_id"] for r in got.collect()} == want
         # A frame up to the end is worked out anew for each row.
         assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_sketches_are_held_by_group_alone(spark):
+    from epochal.plans import queries
+
+    plan = queries.QUERIES["a17_approximate_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line and "keys=" in line]
+    assert sketches and not any("l_orderkey" in line.split("functions=")[0] for line in sketches)
