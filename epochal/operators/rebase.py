@@ -75,12 +75,13 @@ def with_policy(inserts: DataFrame, current: DataFrame, key: str, columns: list[
 def replay_order(changes: DataFrame, ranks: DataFrame) -> DataFrame:
     """Adds phase and place: updates first, deletes from children to parents, inserts from parents to children."""
     phase = F.element_at(F.create_map(F.lit(2), F.lit(0), F.lit(3), F.lit(1), F.lit(1), F.lit(2)), F.col("kind"))
-    return changes.join(ranks, "tbl").withColumn("phase", phase).withColumn("place", F.when(F.col("kind") == 3, -F.col("rank")).otherwise(F.when(F.col("kind") == 1, F.col("rank")).otherwise(0)))
+    # One row a table of the schema: dealt by table, all changes of one would meet in one task.
+    return changes.join(F.broadcast(ranks), "tbl").withColumn("phase", phase).withColumn("place", F.when(F.col("kind") == 3, -F.col("rank")).otherwise(F.when(F.col("kind") == 1, F.col("rank")).otherwise(0)))
 
 
 def referenced_updates(changes: DataFrame, refmask: DataFrame) -> DataFrame:
     """Updates that touch a column which another table refers to: true conflicts."""
-    return changes.where("kind = 2").join(refmask, "tbl").where(F.col("mask").bitwiseAND(F.col("refmask")) != 0)
+    return changes.where("kind = 2").join(F.broadcast(refmask), "tbl").where(F.col("mask").bitwiseAND(F.col("refmask")) != 0)
 
 
 def merged_row(mask: Column, bit: int, new: Column, current: Column) -> Column:

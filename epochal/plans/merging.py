@@ -186,7 +186,7 @@ def b2_catalog_reasons(spark, d):
     keys = [ForeignKey(c, "x", p, "y") for c, p in [*EDGES, ("part", "part"), ("nation", "supplier")]]
     catalog = Catalog([TableSpec.of(t, read(spark, d, t).schema, (read(spark, d, t).columns[0],)) for t in TABLES], keys)
     names = F.array(*[F.lit(t) for t in TABLES])
-    return writers(spark, d).select("tx_id", F.get(names, (F.col("k") % 7).cast("int")).alias("tbl")).join(catalog.reasons(spark), "tbl").select("tx_id", "tbl", "catalog_reason")
+    return writers(spark, d).select("tx_id", F.get(names, (F.col("k") % 7).cast("int")).alias("tbl")).join(F.broadcast(catalog.reasons(spark)), "tbl").select("tx_id", "tbl", "catalog_reason")
 
 
 @query("""WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3), o AS (SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM c) THEN o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 50 <> 0),

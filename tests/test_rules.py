@@ -338,3 +338,12 @@ def test_sketches_are_held_by_group_alone(spark):
     plan = queries.QUERIES["a17_approximate_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     sketches = [line for line in plan.splitlines() if "approx_count_distinct" in line and "keys=" in line]
     assert sketches and not any("l_orderkey" in line.split("functions=")[0] for line in sketches)
+
+
+def test_changes_are_not_dealt_by_table(spark):
+    changes = spark.range(50).selectExpr("id", "'orders' as tbl", "cast(id % 3 + 1 as int) as kind", "id as mask")
+    ranks = spark.createDataFrame([("orders", 3), ("customer", 2)], "tbl string, rank int")
+    masks = spark.createDataFrame([("orders", 5)], "tbl string, refmask long")
+    for got in (rebase.replay_order(changes, ranks), rebase.referenced_updates(changes, masks)):
+        assert got.count() > 0
+        assert "hashpartitioning(tbl" not in got._jdf.queryExecution().executedPlan().toString()
