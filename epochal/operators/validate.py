@@ -48,29 +48,37 @@ def stale(tx: DataFrame, ddl: DataFrame, width: int = WIDTH) -> DataFrame:
     return known.withColumn("stale", (F.col("kind") != "view") & F.coalesce(F.col("snapshot_epoch") < F.col("schema_epoch"), F.lit(False))).drop("schema_epoch")
 
 
-def conflicts(t: DataFrame, width: int = WIDTH, basis: tuple[str, str, str] = ("snapshot_epoch",) * 3) -> DataFrame:
-    """tx_id, kind and whether a newer version conflicts with what the transaction read (r), with the row (w) and
-    with the page (p) that it wrote, in one pass: a transaction gives a row for each granule it touches, the rows are
-    dealt by granule and ranges of epochs, and one aggregate by transaction puts the answers together. ``basis``: the
-    columns of the epochs after which a version is newer, for reads, rows and pages."""
+def conflicts(t: DataFrame, width: int = WIDTH, writer: str | None = None, ddl: DataFrame | None = None, flags: tuple[str, ...] = ()) -> DataFrame:
+    """tx_id, view (it is a reader), the flags (boolean columns) and whether a newer version conflicts with what the
+    transaction read (r), with the row (w) and with the page (p) that it wrote, in one pass: a transaction gives a row
+    for each granule it touches, the rows are dealt by granule and ranges of epochs, and one aggregate by transaction
+    puts the answers together. ``writer``: a column of who wrote; a granule whose newest version is the writer's own
+    is no conflict. ``ddl``: adds s, whether the schema has changed since the snapshot. Commit epochs are distinct."""
     writes = F.col("kind") != "view"
-    item = lambda space, granule, tag, since, fact: F.struct(F.lit(space).alias("space"), F.col(granule).cast("string").alias("granule"), F.lit(tag).alias("tag"), F.col(since).alias("basis"), F.lit(fact).alias("fact"))
-    items = [F.when(writes & (F.col("rpage") != F.col("page")), item("page", "rpage", "r", basis[0], False)), F.when(writes, item("row", "k", "w", basis[1], True)), F.when(writes, item("page", "page", "p", basis[2], True))]
-    each = t.select("tx_id", "kind", F.col("commit_epoch").alias("at"), F.explode_outer(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x")).select("tx_id", "kind", "at", "x.*")
+    item = lambda space, granule, tag, fact: F.struct(F.lit(space).alias("space"), granule.cast("string").alias("granule"), F.lit(tag).alias("tag"), F.lit(fact).alias("fact"))
+    items = [F.when(writes & (F.col("rpage") != F.col("page")), item("page", F.col("rpage"), "r", False)), F.when(writes, item("row", F.col("k"), "w", True)), F.when(writes, item("page", F.col("page"), "p", True))]
+    if ddl is not None:
+        items.append(item("schema", F.lit("all"), "s", False))
+    own = F.col(writer) if writer else F.lit(None).cast("long")
+    each = t.select("tx_id", (~writes).alias("view"), F.col("commit_epoch").alias("at"), F.col("snapshot_epoch").alias("basis"), own.alias("by"), *flags, F.explode_outer(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x")).select("*", "x.*").drop("x")
+    if ddl is not None:
+        each = each.unionByName(ddl.select(F.col("commit_epoch").alias("at"), item("schema", F.lit("all"), "ddl", True).alias("x")).select("at", "x.*"), allowMissingColumns=True)
     each = each.withColumn("range", F.floor(F.col("at") / width))
-    key, fact = ["space", "granule", "range"], F.when(F.col("fact"), F.col("at"))
+    key, fact = ["space", "granule", "range"], F.when(F.col("fact"), F.struct("at", "by"))
     here = each.withColumn("here", F.max(fact).over(Window.partitionBy(*key).orderBy("at").rangeBetween(*BEFORE)))
     # The newest commit of each granule before a range: one row a granule and range.
     lasts = each.groupBy(*key).agg(F.max(fact).alias("m"))
     before = lasts.select(*key, F.max("m").over(Window.partitionBy("space", "granule").orderBy("range").rowsBetween(*BEFORE)).alias("m"))
     last = F.coalesce("here", "m")
-    hit = lambda tag: F.coalesce(F.max((F.col("tag") == tag) & (last > F.col("basis"))), F.lit(False)).alias(tag)
-    return here.join(before, key, "left").groupBy("tx_id").agg(F.max("kind").alias("kind"), hit("r"), hit("w"), hit("p"))
+    newer = (last["at"] > F.col("basis")) & ~F.coalesce(last["by"] == F.col("by"), F.lit(False))
+    hit = lambda tag: F.coalesce(F.max((F.col("tag") == tag) & newer), F.lit(False)).alias(tag)
+    asks = here.where("tag is null or tag <> 'ddl'").join(before, key, "left")
+    return asks.groupBy("tx_id").agg(*[F.max(c).alias(c) for c in ("view", *flags)], *[hit(tag) for tag in ("rwp" if ddl is None else "rwps")])
 
 
 def verdicts(t: DataFrame, read_check: bool = True, width: int = WIDTH) -> DataFrame:
     """tx_id and verdict: the first failure decides, reads before rows before pages. tx_id is a key."""
-    verdict = F.when(F.col("kind") == "view", "read only").when(F.col("r") & F.lit(read_check), "read conflict").when(F.col("w"), "row conflict").when(F.col("p"), "mergeable").otherwise("clean")
+    verdict = F.when(F.col("view"), "read only").when(F.col("r") & F.lit(read_check), "read conflict").when(F.col("w"), "row conflict").when(F.col("p"), "mergeable").otherwise("clean")
     return conflicts(t, width).select("tx_id", verdict.alias("verdict"))
 
 
@@ -95,20 +103,14 @@ def ladder(t: DataFrame, ddl: DataFrame, forgiven: DataFrame | None = None, opti
     a relocation where all that clashes is the file's growth (growth_only), a replay of the row changes where the
     transaction may be merged (reason is null, not dependent) and no other commit touched its row, else it is
     refused. A schema change is never merged with."""
-    writers = t.where("kind <> 'view'")
-    for page, name in (("rpage", "__read"), ("k", "__row"), ("page", "__page")):
-        own = "k" if page == "k" else "page"
-        facts = writers.select("writer_id", F.col(own).alias(page), "commit_epoch", F.col("commit_epoch").alias("__e"))
-        t = last_before(t, facts, ["writer_id", page], "commit_epoch", "__e", name, width=width).withColumn(name, F.greatest("snapshot_epoch", name))
-    found = conflicts(t, width, ("__read", "__row", "__page"))
-    known = last_schema_epoch(t, ddl, width).select("tx_id", "snapshot_epoch", "schema_epoch", "growth_only", "reason", "dependent")
-    found = found.join(known, "tx_id")
+    t = t.withColumn("eligible", F.col("reason").isNull())
+    found = conflicts(t, width, "writer_id", ddl, ("growth_only", "eligible", "dependent"))
     found = found.join(forgiven.select("tx_id").distinct().withColumn("__same", F.lit(True)), "tx_id", "left") if forgiven is not None and options.route_check else found.withColumn("__same", F.lit(None).cast("boolean"))
     reads = F.col("r") & F.col("__same").isNull() & F.lit(options.read_check)
-    conflict = F.when(F.col("kind") == "view", None).when(reads, "read").when(F.col("p"), "page").when(F.col("schema_epoch") > F.col("snapshot_epoch"), "schema")
+    conflict = F.when(F.col("view"), None).when(reads, "read").when(F.col("p"), "page").when(F.col("s"), "schema")
     found = found.withColumn("conflict", conflict)
     moved = (F.col("conflict") == "page") & F.col("growth_only") & F.lit(options.relocation)
-    merged = F.col("conflict").isin("read", "page") & F.col("reason").isNull() & ~F.col("dependent") & ~F.col("w") & ~F.coalesce(F.col("schema_epoch") > F.col("snapshot_epoch"), F.lit(False)) & F.lit(options.rebase)
+    merged = F.col("conflict").isin("read", "page") & F.col("eligible") & ~F.col("dependent") & ~F.col("w") & ~F.col("s") & F.lit(options.rebase)
     outcome = F.when(F.col("conflict").isNull(), "committed").when(moved, "relocated").when(merged, "rebased").otherwise("refused")
     return found.select("tx_id", "conflict", outcome.alias("outcome"))
 

@@ -347,3 +347,18 @@ def test_changes_are_not_dealt_by_table(spark):
     for got in (rebase.replay_order(changes, ranks), rebase.referenced_updates(changes, masks)):
         assert got.count() > 0
         assert "hashpartitioning(tbl" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ladder_reads_the_history_as_often_as_one_pass_does(spark):
+    rows, t = history_of(spark, 60, 3)
+    ddl = spark.createDataFrame([(20,), (41,)], "commit_epoch long")
+    got = validate.ladder(t, ddl, width=7)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [tx_id") <= 2
+    writes = [r for r in rows if r[1] != "view"]
+    last = lambda r, on, at, by: max((w[7] for w in writes if w[at] == r[on] and w[7] < r[7] and by in (None, w[2])), default=0)
+    newer = lambda r, on, at: last(r, on, at, None) > max(r[6], last(r, on, at, r[2]))
+    for r in got.collect():
+        x = next(x for x in rows if x[0] == r["tx_id"])
+        schema = any(x[6] < e < x[7] for e in (20, 41))
+        want = None if x[1] == "view" else "read" if x[4] != x[3] and newer(x, 4, 3) else "page" if newer(x, 3, 3) else "schema" if schema else None
+        assert r["conflict"] == want
