@@ -18,7 +18,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id."""
+    """One document of each group of near copies stays: that of the smallest id. Fingerprints link as in op9."""
     return simhash.keep_one(docs)
 
 

@@ -359,10 +359,21 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined_groups(groups: DataFrame, prints: DataFrame) -> DataFrame:
+    """The groups (doc_id, key, group) with those made one that components (doc_id: a key; component_id) connect."""
+    links = groups.select(F.col("key").alias("a"), F.col("group").alias("b")).unionByName(prints.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    parts = materialize(connected_components(materialize(links.where("a <> b").distinct())))
+    return groups.join(parts, groups["key"] == F.col("node"), "left").select("doc_id", "key", F.coalesce("component", "group").alias("group"))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, size: int = 5, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group of near copies: the one of the smallest id, null ids last; of rows that
-    are equal in id and text, any one."""
-    groups = materialize(near_copies(docs, similarity, size, id_col=id_col, text_col=text_col))
+    are equal in id and text, any one. Texts are linked by their fingerprints, through the shards' BK-trees, and by
+    the similarity of their shingles, which finds copies that move more bits; links of both kinds chain."""
+    found = near_copies(docs, similarity, size, id_col=id_col, text_col=text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    prints = near_duplicates(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), radius, words)
+    groups = materialize(joined_groups(materialize(found), prints))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("x")
     id_name, key_name = unused("__id", docs.columns), unused("__key", docs.columns)
     kept = groups.groupBy("group").agg(first).select(F.col("x.doc_id").alias(id_name), F.col("x.key").alias(key_name))

@@ -457,6 +457,15 @@ def test_near_copies_among_shuffles(spark, limit):
     assert all((got[i] == got[j]) == (f.find(i) == f.find(j)) for i, j in itertools.combinations(range(40), 2))
 
 
+def test_keep_one_obeys_fingerprints(spark):
+    # Fingerprints count repeats, sets of shingles don't: the first is linked by the one and not by the other.
+    said = " ".join(f"word{i}" for i in range(21))
+    own = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    d = spark.createDataFrame([(x, f"{' '.join([said] * 200)} {own(y)}") for x, y in ((3, "a"), (5, "b"))] + [(7, own("c"))], "doc_id long, text string")
+    assert simhash.near_copies(d).select("group").distinct().count() == 3
+    assert sorted(r["doc_id"] for r in simhash.keep_one(d).collect()) == [3, 7]
+
+
 def test_near_copies_of_each_kind(spark):
     rng = np.random.default_rng(4)
     rows, pairs = [], collections.Counter()
