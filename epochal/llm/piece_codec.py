@@ -4,7 +4,8 @@ The pass keeps one surviving piece for each position of a window bounded by the
 and commits ids as soon as the paths of all survivors converge on one boundary, so a text of any length needs
 bounded memory. The vocabulary here is one of pair merges, for which the best-scored path is not what the library
 returns; so an edge of the lattice survives only if the piece is compatible with the one before it. Exactly one
-path then survives, and its ids are the library's.
+path then survives, and its ids are the library's. A batch's short words make the pass together, each different
+word once (piece_lanes).
 
 Null texts count as empty and give no ids. Repeated rows stay; columns other than the two named aren't looked at;
 an empty table gives an empty table.
@@ -12,24 +13,33 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
-import numpy as np
+import functools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, texts_of, tokenizer_path
+from .piece_lanes import PieceLanes
+from .shared import map_arrow, tokenizer_path
 from .token_counts import automaton
 
 
+@functools.lru_cache(maxsize=2)
+def lanes(path: str) -> PieceLanes:
+    """One set of tables a Python worker."""
+    return PieceLanes(automaton(path))
+
+
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of every whole text."""
     path = tokenizer_path(model)
 
     def make():
-        a = automaton(path)
+        a = lanes(path)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch([batch.column(0), pa.array([np.array(a.encode(t), "i4") for t in texts_of(batch, "text")], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids, offsets = a.encode(a.marked(batch.column(1)))
+            return pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets.astype("i4"), ids)], ["doc_id", "ids"])
 
         return f
 
@@ -56,16 +66,13 @@ def roundtrip(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str =
     path = tokenizer_path(model)
 
     def make():
-        a = automaton(path)
+        a = lanes(path)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch, "text")
-            ids, same = [], []
-            for t in texts:
-                x = a.encode(t)
-                same.append(a.decode(x) == t.replace("▁", " "))
-                ids.append(np.array(x, "i4"))
-            return pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "decodes"])
+            marked = a.marked(batch.column(1))
+            ids, offsets = a.encode(marked)
+            same = a.same(ids, offsets, marked)
+            return pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets.astype("i4"), ids), pa.array(offsets[1:] - offsets[:-1]), pa.array(same)], ["doc_id", "ids", "n_ids", "decodes"])
 
         return f
 

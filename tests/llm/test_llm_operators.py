@@ -8,12 +8,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from epochal.llm import ann, components, lm_score, packing, pii, piece_codec, secret_scan, simhash, spotsigs, token_counts, toxicity
 from epochal.llm.piece_automaton import PieceAutomaton
+from epochal.llm.piece_lanes import PieceLanes
 
 P = pytest.importorskip("public_tokenizers")
 WORDS = "the of and river stone bright garden winter letter market quiet engine table"
@@ -107,6 +109,39 @@ def test_codec_roundtrip(docs, empty, library):
     assert piece_codec.roundtrip(empty).count() == 0
 
 
+def test_short_words_pass_together(library, monkeypatch):
+    a = PieceLanes(PieceAutomaton(P.path("piece_bpe_32k.model")))
+    rng = np.random.default_rng(1)
+    odd = ["".join(rng.choice(list(" \nabtheiong日😀é▁0_"), rng.integers(0, 40))) for _ in range(400)] + [" " * n for n in range(40)] + ["é" * 62, "é" * 63, "é" * 64, "\n\n ", "\x00\n", "a\ufffdb"]
+
+    def check(texts):
+        marked = a.marked(pa.array(texts, pa.string()))
+        ids, offsets = a.encode(marked)
+        for k, t in enumerate(texts):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(t or ""), t
+        assert a.same(ids, offsets, marked).all() and len(offsets) == len(texts) + 1
+        return ids, offsets, marked
+
+    for block, n in ((1 << 24, 1 << 15), (50, 7)):
+        monkeypatch.setattr("epochal.llm.piece_lanes.BLOCK", block)
+        monkeypatch.setattr("epochal.llm.piece_lanes.LANES", n)
+        check(TEXTS + odd)
+        check([])
+        check([None, ""])
+    ids, offsets, marked = check(["one two", "", "three"])
+    ids[0] += 1
+    assert a.same(ids, offsets, marked).tolist() == [False, True, True]
+    # No word of an ordinary text is read character by character in Python.
+    monkeypatch.setattr(PieceAutomaton, "split", None)
+    check([prose(4, 3000) + "\nnew line\ttab", "naïve café 日本語 😀 été"])
+
+
+def test_roundtrip_gives_the_library_s_ids(docs, library):
+    rows = piece_codec.roundtrip(docs).collect()
+    assert by_id(rows, "ids") == expected(library.encode)
+    assert by_id(rows, "n_ids") == expected(lambda t: len(library.encode(t)))
+
+
 # --- packing
 
 
