@@ -4,8 +4,8 @@ The pass keeps one surviving piece for each position of a window bounded by the
 and commits ids as soon as the paths of all survivors converge on one boundary, so a text of any length needs
 bounded memory. The vocabulary here is one of pair merges, for which the best-scored path is not what the library
 returns; so an edge of the lattice survives only if the piece is compatible with the one before it. Exactly one
-path then survives, and its ids are the library's. A batch's short words make the pass together, each different
-word once (piece_lanes).
+path then survives, and its ids are the library's. A batch's words make the pass together, each different word
+once (piece_lanes).
 
 Null texts count as empty and give no ids. Repeated rows stay; columns other than the two named aren't looked at;
 an empty table gives an empty table.

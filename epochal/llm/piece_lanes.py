@@ -4,7 +4,9 @@ A batch's texts are cut where a space follows another character and at newlines,
 boundary, and each different word is encoded once. The words' lanes then read one character a step together: a
 trie with failure links gives the longest piece that ends there, and from the longest to the shortest the first one
 compatible with the piece before it survives. The survivors are the back pointers, followed from the words' ends.
-Words longer than ``WIDTH`` and runs of spaces go to the automaton's own pass, which needs bounded memory.
+Lanes that run together share ``CELLS`` back pointers, so memory is bounded; a word so long that fewer than ``FEW``
+run beside it goes to the automaton's own pass, which needs bounded memory for words of any length. A run of spaces
+goes to the word after it as far as the library's rule for runs says.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ import pyarrow.compute as pc
 
 from .piece_automaton import MARK, PieceAutomaton
 
-#: Code points of the longest word that has a lane, lanes that run together, and bytes of text cut into words at once.
-WIDTH, LANES, BLOCK = 64, 1 << 15, 1 << 24
+#: Back pointers of lanes that run together, lanes below which numpy doesn't pay, and bytes of text cut into words at once.
+CELLS, FEW, BLOCK = 1 << 20, 25, 1 << 24
 
 
 class PieceLanes:
@@ -127,31 +129,47 @@ class PieceLanes:
         return ids, count
 
     def _alone(self, word: str) -> list[int]:
-        """Ids of a word that has no lane, with the spaces or the newline before it."""
-        if word[0] == "\n":
-            return [self.a.byte_ids[10], *self.a._ids(word[1:])]
-        return self.a.encode(word[1:])
+        """Ids of a word that has no lane, with the space or the newline before it."""
+        return [self.a.byte_ids[10], *self.a._ids(word[1:])] if word[0] == "\n" else self.a._ids(MARK + word[1:])
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of different words, and where each word's begin and how many they are."""
         data, ends = _buffers(words)
         points = np.frombuffer(str(data, "utf-8").encode("utf-32-le"), "u4")
         ends = np.concatenate([[0], np.cumsum((np.frombuffer(data, "u1") & 0xC0) != 0x80)])[ends]
-        start, size = ends[:-1], np.diff(ends)
-        alone = (size > WIDTH) | ((size > 1) & (points[np.minimum(start + 1, len(points) - 1)] == 32))
-        order = np.flatnonzero(~alone)
-        order = order[np.argsort(-size[order], kind="stable")]
-        parts, count = [], np.zeros(len(words), "i8")
-        for k in range(0, len(order), LANES):
-            some = order[k : k + LANES]
-            ids, count[some] = self._lanes(points, start[some], size[some])
+        # All spaces of a word are at its front; a lane begins at the last of them.
+        spaces = np.add.reduceat(points == 32, ends[:-1], dtype="i8")
+        start = ends[:-1] + np.maximum(spaces - 1, 0)
+        size = ends[1:] - start
+        order = np.argsort(-size, kind="stable")
+        parts, count, k = [], np.zeros(len(words), "i8"), 0
+        while k < len(order):
+            some = order[k : k + max(1, CELLS // int(size[order[k]]))]
+            if size[some].sum() < FEW * size[some[0]] and size[some[0]] > FEW:
+                some = some[:1]
+                ids = np.array(self._alone(_text(points, start[some[0]], size[some[0]])), "i4")
+                count[some] = len(ids)
+            else:
+                ids, count[some] = self._lanes(points, start[some], size[some])
             parts.append(ids)
-        for k in np.flatnonzero(alone):
-            parts.append(np.array(self._alone(words[int(k)].as_py().decode()), "i4"))
-            count[k] = len(parts[-1])
-        order = np.concatenate([order, np.flatnonzero(alone)])
+            k += len(some)
         at = np.empty(len(words), "i8")
         at[order] = np.cumsum(count[order]) - count[order]
+        ids = np.concatenate(parts)
+        return self._with_runs(ids, at, count, spaces, size) if (spaces > 1).any() else (ids, at, count)
+
+    def _with_runs(self, ids: np.ndarray, at: np.ndarray, count: np.ndarray, spaces: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same with the spaces before a word's last one. A word whose first piece is the space alone leaves that
+        space to the run, as does a run with no word after it."""
+        many = np.flatnonzero(spaces > 1)
+        leaves = (size[many] == 1) | (ids[at[many]] == self.a.ids[MARK])
+        length = spaces[many] - ~leaves
+        runs = {k: np.array(self.a._run_ids(k), "i4") for k in np.unique(length).tolist()}
+        parts, end = [ids], len(ids)
+        for k, n, leave in zip(many.tolist(), length.tolist(), leaves.tolist(), strict=True):
+            parts += [runs[n], ids[at[k] + leave : at[k] + count[k]]]
+            at[k], count[k] = end, len(parts[-2]) + len(parts[-1])
+            end += int(count[k])
         return np.concatenate(parts), at, count
 
     @staticmethod
@@ -215,6 +233,10 @@ class _Kept:
         return held & 0xFFFFFF
 
 
+def _text(points: np.ndarray, start: int, size: int) -> str:
+    return points[start : start + size].tobytes().decode("utf-32-le")
+
+
 def _sorted(table: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.array(list(table), "i8")
     order = np.argsort(keys)

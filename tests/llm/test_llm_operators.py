@@ -109,7 +109,7 @@ def test_codec_roundtrip(docs, empty, library):
     assert piece_codec.roundtrip(empty).count() == 0
 
 
-def test_short_words_pass_together(library, monkeypatch):
+def test_words_pass_together(library, monkeypatch):
     a = PieceLanes(PieceAutomaton(P.path("piece_bpe_32k.model")))
     rng = np.random.default_rng(1)
     odd = ["".join(rng.choice(list(" \nabtheiong日😀é▁0_"), rng.integers(0, 40))) for _ in range(400)] + [" " * n for n in range(40)] + ["é" * 62, "é" * 63, "é" * 64, "\n\n ", "\x00\n", "a\ufffdb"]
@@ -122,9 +122,11 @@ def test_short_words_pass_together(library, monkeypatch):
         assert a.same(ids, offsets, marked).all() and len(offsets) == len(texts) + 1
         return ids, offsets, marked
 
-    for block, n in ((1 << 24, 1 << 15), (50, 7)):
+    odd += ["".join(rng.choice(list("   \nthe日"), 40)) for _ in range(200)] + ["the日本é" * n for n in range(60)] + ["\n" + "the" * 900, " " * 40 + "日" * 20]
+    for block, cells, few in ((1 << 24, 1 << 20, 25), (50, 200, 3), (1 << 24, 1 << 20, 1 << 30), (1 << 24, 1 << 24, 0)):
         monkeypatch.setattr("epochal.llm.piece_lanes.BLOCK", block)
-        monkeypatch.setattr("epochal.llm.piece_lanes.LANES", n)
+        monkeypatch.setattr("epochal.llm.piece_lanes.CELLS", cells)
+        monkeypatch.setattr("epochal.llm.piece_lanes.FEW", few)
         check(TEXTS + odd)
         check([])
         check([None, ""])
@@ -133,7 +135,7 @@ def test_short_words_pass_together(library, monkeypatch):
     assert a.same(ids, offsets, marked).tolist() == [False, True, True]
     # No word of an ordinary text is read character by character in Python.
     monkeypatch.setattr(PieceAutomaton, "split", None)
-    check([prose(4, 3000) + "\nnew line\ttab", "naïve café 日本語 😀 été"])
+    check([prose(4, 3000) + "\nnew line\ttab", "naïve café 日本語 😀 été", "  def f(x):\n      return   x"] + [c * 300 for c in WORDS.replace(" ", "")])
 
 
 def test_roundtrip_gives_the_library_s_ids(docs, library):
