@@ -38,8 +38,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "d
         a = lanes(path)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, offsets = a.encode(a.marked(batch.column(1)))
-            return pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets.astype("i4"), ids)], ["doc_id", "ids"])
+            return pa.record_batch([batch.column(0), a.batch(batch.column(1))[0]], ["doc_id", "ids"])
 
         return f
 
@@ -69,10 +68,8 @@ def roundtrip(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str =
         a = lanes(path)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            marked = a.marked(batch.column(1))
-            ids, offsets = a.encode(marked)
-            same = a.same(ids, offsets, marked)
-            return pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets.astype("i4"), ids), pa.array(offsets[1:] - offsets[:-1]), pa.array(same)], ["doc_id", "ids", "n_ids", "decodes"])
+            ids, same = a.batch(batch.column(1), decodes=True)
+            return pa.record_batch([batch.column(0), ids, ids.value_lengths().cast(pa.int64()), pa.array(same)], ["doc_id", "ids", "n_ids", "decodes"])
 
         return f
 

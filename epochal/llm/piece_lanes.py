@@ -179,6 +179,21 @@ class PieceLanes:
         space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
         return pc.if_else(pc.equal(texts, nothing), nothing, pc.binary_join_element_wise(space, texts, nothing))
 
+    def batch(self, texts: pa.Array, decodes: bool = False) -> tuple[pa.Array, np.ndarray | None]:
+        """Each text's list of ids and, if wanted, whether decoding them gives the text back; a block of texts at a time."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype="i8") // BLOCK)) + 1).tolist(), len(texts)]
+        parts, counts, same = [np.zeros(0, "i4")], [np.zeros(0, "i8")], [np.zeros(0, bool)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            marked = self.marked(texts.slice(lo, hi - lo))
+            ids, offsets = self.encode(marked)
+            parts.append(ids)
+            counts.append(np.diff(offsets))
+            if decodes:
+                same.append(self.same(ids, offsets, marked))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return pa.ListArray.from_arrays(offsets.astype("i4"), np.concatenate(parts)), np.concatenate(same) if decodes else None
+
     def encode(self, marked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where those of each begin (and the last end)."""
         data, ends = _buffers(marked)

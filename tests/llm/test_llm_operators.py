@@ -120,6 +120,8 @@ def test_words_pass_together(library, monkeypatch):
         for k, t in enumerate(texts):
             assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(t or ""), t
         assert a.same(ids, offsets, marked).all() and len(offsets) == len(texts) + 1
+        lists, same = a.batch(pa.array(texts, pa.string()), decodes=True)
+        assert lists.to_pylist() == [library.encode(t or "") for t in texts] and same.tolist() == [True] * len(texts)
         return ids, offsets, marked
 
     odd += ["".join(rng.choice(list("   \nthe日"), 40)) for _ in range(200)] + ["the日本é" * n for n in range(60)] + ["\n" + "the" * 900, " " * 40 + "日" * 20]
