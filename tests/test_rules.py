@@ -46,6 +46,38 @@ def test_integer_width_of_every_class(spark):
     assert {r["v"]: r["w"] for r in got} == want
 
 
+def test_spaces_at_the_front_go_in_runs(spark):
+    import time
+
+    tails = ["", "x", "\n x", "\u00a0x ", "-- " + " " * 70]
+    rows = [(" " * n + t,) for n in (0, 1, 63, 64, 65, 127, 128, 4095, (1 << 19) - 1, 1 << 19, (1 << 20) + 65, 3 << 20) for t in tails] + [(None,)]
+    got = spark.createDataFrame(rows, "q string").select(statements.unspaced(F.col("q")).alias("a"), F.ltrim("q").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] == [q if q is None else q.lstrip(" ") for q, in rows]
+
+    def took(strip):
+        at = time.time()
+        spark.range(0, 1500, 1, 2).select(F.max(F.octet_length(strip(F.lpad(F.col("id").cast("string"), 900_000, " " * 1024))))).collect()
+        return time.time() - at
+
+    assert min(took(statements.unspaced) for _ in range(3)) < min(took(F.ltrim) for _ in range(3))
+
+
+def test_statement_kinds_of_any_customer_in_many_tasks(spark, tmp_path):
+    import duckdb
+
+    from epochal.plans import queries
+
+    customers = [None, -3, 0, 1, 64, 899_999, (1 << 19) + 63]
+    rows = [(i, customers[i % len(customers)]) for i in range(14 * len(customers) * 2)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.QUERIES["p8_statement_kinds"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(duck.execute(queries.ORACLE_SQL["p8_statement_kinds"]).fetchall())
+    # The file's orders are the work of many tasks, whatever their customers' numbers.
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_points_by_whole_keys(spark):
     rows = [("UPDATE t SET v = 1 WHERE k1 = 1 AND k2 = 'a'", True), ("DELETE FROM t WHERE K2='a' and k1=1;", True), ("UPDATE t SET v = 1 WHERE k1 = 1", False), ("UPDATE t SET v = 1 WHERE k1 = 1 AND k2 > 'a'", False), ("UPDATE t SET v = 1 WHERE k1 = 1 OR k2 = 'a'", False), ("UPDATE t SET v = 1 WHERE k1 = 1 AND k2 = 'a' AND v = 2", False), (None, None)]
     got = spark.createDataFrame([(q,) for q, _ in rows], "q string").select(statements.is_point(F.col("q"), F.lit("k1"), F.lit("k2"))).collect()
